@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, langid
-from .common import crc32_of, table
+from . import bpe_replay, decontaminate, langid, simhash
+from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("SPARKBAGS_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,11 @@ def tokenizer_file(name: str, folder: str = TOKENIZERS) -> bytes:
         return f.read()
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return simhash.classes(docs, own=settle(simhash.fingerprints(docs)))
+
+
 def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_replay.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
@@ -35,9 +40,16 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.pmod(crc32_of("doc_id"), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op8_bpe_replay": op8_bpe_replay,
     "op9_langid": op9_langid,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {}
