@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, chunks
 
+#: What splits text before byte-level merges (a fixed value of such vocabularies).
+GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SLICE = 4 << 20
 #: Words remembered by a worker before it starts anew.
 MEMORY = 250_000
@@ -246,14 +248,19 @@ def _latin(pattern: str) -> str:
     return out.replace(r"\S", f"[^{members[r'\s']}]")
 
 
+def finder(pattern: str):
+    """A function that lists the matches of a pattern of this kind in a text."""
+    import regex
+
+    latin, other = re.compile(_latin(pattern)).findall, regex.compile(pattern).findall
+    return lambda text: latin(text) if text.isascii() or max(text) < LATIN else other(text)
+
+
 class Encoder:
     """Encodes blocks of texts; one for each worker process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
-        self.ranks, self.find_any = ranks, regex.compile(pattern).findall
-        self.find_latin = re.compile(_latin(pattern)).findall
+        self.ranks, self.find = ranks, finder(pattern)
         self.merges = Merges(ranks)
         n = max(ranks.values()) + 1
         vocab = [b""] * n
@@ -268,9 +275,6 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)  # where the ids of each word begin
 
-    def find(self, text: str) -> list[str]:
-        return self.find_latin(text) if text.isascii() or max(text) < LATIN else self.find_any(text)
-
     def learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         whole = [len(w) > LONG or w in self.ranks for w in raw]

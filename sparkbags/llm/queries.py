@@ -8,13 +8,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, simhash
+from . import bpe_replay, decontaminate, langid, simhash, token_file
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("SPARKBAGS_TOKENIZERS", "/opt/tokenizers")
-#: Splits text into words before merges (a fixed value of the rank files).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def tokenizer_file(name: str, folder: str = TOKENIZERS) -> bytes:
@@ -27,9 +25,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(docs, own=settle(simhash.fingerprints(docs)))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe_replay.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
+    return bpe_replay.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), bpe_replay.GPT_PATTERN)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op7_token_file": op7_token_file,
     "op8_bpe_replay": op8_bpe_replay,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
