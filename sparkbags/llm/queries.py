@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, simhash, token_file
+from . import bpe_replay, decontaminate, langid, simhash, token_file, warc
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
@@ -20,6 +20,10 @@ def tokenizer_file(name: str, folder: str = TOKENIZERS) -> bytes:
         return f.read()
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.classes(docs, own=settle(simhash.fingerprints(docs)))
@@ -48,6 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op7_token_file": op7_token_file,
     "op8_bpe_replay": op8_bpe_replay,
