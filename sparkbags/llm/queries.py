@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, simhash, token_file, warc
+from . import bpe_replay, decontaminate, langid, simhash, suffix_dedup, token_file, warc
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
@@ -29,6 +29,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(docs, own=settle(simhash.fingerprints(docs)))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
@@ -54,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_token_file": op7_token_file,
     "op8_bpe_replay": op8_bpe_replay,
     "op9_langid": op9_langid,
