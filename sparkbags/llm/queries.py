@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, simhash, suffix_dedup, token_file, warc
+from . import bpe_replay, decontaminate, langid, quality, simhash, suffix_dedup, token_file, warc
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
@@ -20,6 +20,10 @@ def tokenizer_file(name: str, folder: str = TOKENIZERS) -> bytes:
         return f.read()
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,

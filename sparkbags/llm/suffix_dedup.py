@@ -346,22 +346,28 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """(k, z): texts in zstandard frames, for the shuffle."""
+    """Texts ``t`` in zstandard frames ``z``, for the shuffle, beside the other columns."""
+
+    more = rows.columns[2:]
 
     def pack(it):
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_.compress(("" if t is None else t).encode()) for t in b.column(1).to_pylist()], pa.binary())], ["k", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_.compress(("" if t is None else t).encode()) for t in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], ["k", "z", *more])
 
     batches(rows.sparkSession, 1000)
-    return rows.mapInArrow(pack, f"k {rows.schema['k'].dataType.simpleString()}, z binary")
+    return rows.mapInArrow(pack, ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", "z binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])]))
+
 
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, whole: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256): a row for each document.
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, kept: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256 [, kept]): a row for each
-    document; ``kept`` is the text that is left (bytes of cut characters replaced)."""
+    With ``whole`` also ``kept``, the text that is left without the bytes of
+    characters that were cut apart, and ``row``, the other columns as a struct.
+    """
     found = spans(docs, text, key, length, gram, most_contexts).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("r"))  # bounded by the document
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    others = [f"`{c}`" for c in docs.columns if c != text]
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.struct(*others).alias("row")] if whole else []))
 
     def cut(it):
         unzip = zstandard.ZstdDecompressor()
@@ -382,11 +388,21 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                         at = y
                 parts.append(raw[at:])
                 left = b"".join(parts)
-                out.append((len(raw), removed, n, sha256(left).hexdigest(), *([left.decode("utf-8", "replace")] if kept else [])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * (4 + kept)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False))], names)
+                out.append((len(raw), removed, n, sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if whole else [])))
+            cols = list(zip(*out, strict=True)) if out else [[]] * (4 + whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False)), *b.columns[3:]], names)
 
-    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept]
+    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "row"] if whole else [])]
     kind = docs.schema[key].dataType.simpleString()
     batches(docs.sparkSession, 500)
-    return _packed(rows).join(found, "k", "left").select("k", "z", "r").mapInArrow(cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * kept).withColumnRenamed("k", key)
+    more = f", kept string, row {rows.schema['row'].dataType.simpleString()}" if whole else ""
+    joined = _packed(rows).join(found, "k", "left").select("k", "z", "r", *(["row"] if whole else []))
+    return joined.mapInArrow(cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("k", key)
+
+
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = None, **settings) -> DataFrame:
+    """The documents with repeated strings cut from their texts; all columns stay, and
+    ``n_chars``, if named, is counted anew.  No document goes, even if nothing is left."""
+    out = remove(docs, text, key, whole=True, **settings)
+    cols = [F.col("kept").alias(c) if c == text else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*cols)
