@@ -34,6 +34,7 @@ SEGMENT = 32 << 10
 CHUNK = 8 << 10
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
+_READ = 16 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _ID = "urn:sparkbags:page:"
 PARSED = "record_id string, record_type string, url string, refers_to string, digest string, payload_length long, segment int, origin string, total_length long, block binary"
@@ -99,10 +100,16 @@ def records(page_id, url: str | None, payload: bytes, sha: str, refers_to, segme
 
 def parse(data: bytes):
     """The records of an archive: header fields (names in lower case) and block."""
-    while data.strip(b"\0"):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    pos, view = 0, memoryview(data)
+    while pos < len(data) and data[pos]:
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if pos >= len(data):
+                raise ValueError("an archive is cut short")
+            piece = view[pos : pos + _READ]
+            parts.append(z.decompress(piece))
+            pos += len(piece) - len(z.unused_data)
+        raw = b"".join(parts)
         at = 0
         while at < len(raw):
             end = raw.index(b"\r\n\r\n", at)
