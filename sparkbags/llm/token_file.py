@@ -33,49 +33,66 @@ from .common import batches, chunks, settle, work_dir
 from .files import read_files, write_bytes
 
 BLOCK = 1024
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 20
 PERCENTILES = (80, 90, 95, 99, 100)
 _HEAD = struct.Struct("<4sIQIQIII")
 _BLOCK = struct.Struct("<IBHH")
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
-def pack_block(ids: np.ndarray) -> bytes:
-    low = int(ids.min())
-    v = (ids - low).astype(np.uint64)
-    ordered = np.sort(v)
-    best = None
+def pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """Blocks of ``BLOCK`` ids, the last one shorter."""
+    full = len(ids) // BLOCK * BLOCK
+    out = _pack(ids[:full].reshape(-1, BLOCK)) if full else []
+    return out + (_pack(ids[full:][None]) if full < len(ids) else [])
+
+
+def _pack(ids: np.ndarray) -> list[bytes]:
+    low = ids.min(1)
+    v = ids - low[:, None]
+    n = v.shape[1]
+    ordered = np.sort(v, 1)
+    cost = np.full(len(v), 1 << 40)
+    width = np.zeros(len(v), np.int64)
     for p in PERCENTILES:
-        k = -(-len(v) * p // 100)
-        width = int(ordered[k - 1]).bit_length()
-        out = int(len(v) - np.searchsorted(ordered, 1 << width)) if width < 64 else 0
-        cost = width * len(v) + 48 * out
-        if best is None or cost < best[0]:
-            best = cost, width
-    width = best[1]
-    out = np.flatnonzero(v >> np.uint64(width))
-    head = _BLOCK.pack(low, width, len(out), len(v))
-    bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    return head + packed + out.astype("<u2").tobytes() + (v[out] >> np.uint64(width)).astype("<u4").tobytes()
+        w = np.ceil(np.log2(ordered[:, -(-n * p // 100) - 1].astype(np.float64) + 1)).astype(np.int64)
+        c = w * n + 48 * (v >= (np.int64(1) << w)[:, None]).sum(1)
+        better = c < cost
+        cost[better], width[better] = c[better], w[better]
+    out: list[bytes] = [b""] * len(v)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        for some in np.split(rows, range(64, len(rows), 64)):
+            x = v[some]
+            byte = np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(len(some), n, 4)
+            bits = np.unpackbits(byte, axis=2, count=w, bitorder="little") if w else np.zeros((len(some), n, 0), np.uint8)
+            packed = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
+            high = (x.astype(np.uint64) >> np.uint64(w)).astype("<u4")
+            for k, i in enumerate(some.tolist()):
+                more = np.flatnonzero(high[k])
+                out[i] = _BLOCK.pack(int(low[i]), w, len(more), n) + packed[k].tobytes() + more.astype("<u2").tobytes() + high[k][more].tobytes()
+    return out
 
 
 def unpack_block(data: memoryview, at: int) -> np.ndarray:
     low, width, n_out, n = _BLOCK.unpack_from(data, at)
     at += _BLOCK.size
     size = -(-width * n // 8)
-    v = np.zeros(n, np.uint64)
+    byte = np.zeros((n, 4), np.uint8)
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=width * n, bitorder="little").reshape(n, width)
-        v = bits @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
-    at += size
-    where = np.frombuffer(data, "<u2", n_out, at)
-    v[where] |= np.frombuffer(data, "<u4", n_out, at + 2 * n_out).astype(np.uint64) << np.uint64(width)
-    return (v + np.uint64(low)).astype(np.uint32)
+        packed = np.packbits(bits, axis=1, bitorder="little")
+        byte[:, : packed.shape[1]] = packed
+    v = byte.view("<u4").ravel()
+    if n_out:
+        at += size
+        where = np.frombuffer(data, "<u2", n_out, at)
+        v[where] |= (np.frombuffer(data, "<u4", n_out, at + 2 * n_out).astype(np.uint64) << np.uint64(width)).astype("<u4")
+    return v + np.uint32(low)
 
 
 def pack_file(partition: int, before: int, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = pack_blocks(ids)
     starts = np.cumsum([0, *map(len, blocks[:-1])])[: len(blocks)]
     return b"".join([_HEAD.pack(b"SBTF", 1, before, partition, len(ids), len(keys), len(blocks), BLOCK), starts.astype("<u4").tobytes(), keys.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *blocks])
 
@@ -103,26 +120,50 @@ class TokenFile:
 
     def documents(self):
         """(key, ids before it in its partition, ids) of each document."""
-        at = 0
+        at, ids = 0, self.ids(0, self.n_ids)
         for k, n in zip(self.keys.tolist(), self.lengths.tolist(), strict=True):
-            yield k, self.before + at, self.ids(at, at + n)
+            yield k, self.before + at, ids[at : at + n]
             at += n
 
 
 class LibraryEncoder:
     """Encodes with a ``tokenizers`` file.  The splitter's pieces of a text are
-    encoded one by one, each distinct piece once; a text in which an added token's
+    encoded each once, many in one call with an added token between them; a text in which an added token's
     string occurs goes to the library whole, which treats it as that token."""
 
-    MEMORY = 300_000
+    MEMORY = 150_000
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(data)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.split = None if self.tok.normalizer else self._splitter()
-        self.known: dict[str, bytes] = {}
+        # a token that no piece can hold keeps pieces apart
+        self.mark = next((x for x in self.added.items() if self.split and len(self.split(x[0])) > 1), None)
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(1, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        ids, sizes = [self.ids], []
+        for k in range(0, len(pieces), 4000):
+            some = pieces[k : k + 4000]
+            if self.mark:
+                got = np.array(self.tok.encode_batch_fast([self.mark[0].join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.concatenate(([-1], np.flatnonzero(got == self.mark[1]), [len(got)]))
+                sizes.append(np.diff(cuts) - 1)
+                ids.append(got[got != self.mark[1]])
+            else:
+                each = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+                ids.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+        self.code.update(zip(pieces, range(len(self.code), len(self.code) + len(pieces)), strict=True))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
 
     def _splitter(self):
         import json
@@ -134,24 +175,26 @@ class LibraryEncoder:
 
         return finder(GPT_PATTERN)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        whole = [i for i, t in enumerate(texts) if t and (self.split is None or any(a in t for a in self.added))]
-        out = [b""] * len(texts)
-        for i, e in zip(whole, self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        skip = set(whole)
-        words = {i: self.split(t) for i, t in enumerate(texts) if t and i not in skip}
-        new = set(itertools.chain.from_iterable(words.values())).difference(self.known)
-        if len(self.known) + len(new) > self.MEMORY:
-            self.known.clear()
-            new = set(itertools.chain.from_iterable(words.values()))
-        new = list(new)
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(some, add_special_tokens=False)), strict=True))
-        for i, w in words.items():
-            out[i] = b"".join(map(self.known.__getitem__, w))
+    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        """Ids of each text, ``end_id`` last."""
+        whole = {i for i, t in enumerate(texts) if t and (self.split is None or any(a in t for a in self.added))}
+        each = [self.split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        words = list(itertools.chain.from_iterable(each))
+        if len(self.code) > self.MEMORY:
+            self.forget()
+        code = np.fromiter(map(self.code.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(code < 0)):
+            new = new.tolist()
+            self.learn(list({words[i] for i in new}))
+            code[new] = [self.code[words[i]] for i in new]
+        n = self.at[code + 1] - self.at[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[code] - ends[:-1], n)]
+        cuts = ends[np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))].tolist()
+        end = np.array([end_id], np.uint32)
+        out = [np.concatenate((ids[a:b], end)) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        for i in sorted(whole):
+            out[i] = np.array([*self.tok.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
         return out
 
 
@@ -164,7 +207,6 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
     spark = docs.sparkSession
     batches(spark, 1000)
     shared = spark.sparkContext.broadcast(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k")
 
@@ -180,7 +222,7 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
 
         def file():
             nonlocal before
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held).astype(np.int64)
             data = pack_file(part, before, np.array(keys, np.int64), np.array(lengths, np.int64), ids)
             before += len(ids)
             held.clear(), keys.clear(), lengths.clear()
@@ -188,10 +230,10 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
 
         for b in it:
             for some in chunks(b, "t", _SLICE):
-                for k, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+                for k, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True):
                     keys.append(k)
-                    held.append(ids + end)
-                    lengths.append(len(held[-1]) // 4)
+                    held.append(ids)
+                    lengths.append(len(ids))
                     size += lengths[-1]
                     if size >= file_ids:
                         yield file()
