@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, quality, simhash, suffix_dedup, token_file, warc
+from . import bpe_replay, decontaminate, langid, near_vectors, quality, simhash, suffix_dedup, token_file, warc
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
@@ -24,6 +24,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_near_vectors": op2_near_vectors,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
