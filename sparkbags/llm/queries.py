@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid, near_vectors, quality, simhash, suffix_dedup, token_file, warc
+from . import bpe_replay, decontaminate, html_text, langid, near_vectors, quality, simhash, suffix_dedup, token_file, warc
 from .common import crc32_of, settle, table
 
 #: Folder of the public tokenizer files.
@@ -41,6 +41,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_html_text": op6_html_text,
     "op7_token_file": op7_token_file,
     "op8_bpe_replay": op8_bpe_replay,
     "op9_langid": op9_langid,

@@ -131,7 +131,7 @@ class LibraryEncoder:
     encoded each once, many in one call with an added token between them; a text in which an added token's
     string occurs goes to the library whole, which treats it as that token."""
 
-    MEMORY = 150_000
+    MEMORY = 600_000
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
