@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +52,18 @@ def ship(spark: SparkSession) -> SparkSession:
         atexit.register(Path(name).unlink, missing_ok=True)
         _shipped.add(sc.applicationId)
     return spark
+
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which all machines share.
+    Where that is unset (a local session) a temporary folder takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="sparkbags-"))
+            atexit.register(shutil.rmtree, _own_dir[0], True)
+        base = f"file://{_own_dir[0]}"
+    return f"{base.rstrip('/')}/bags-{uuid.uuid4().hex}"
