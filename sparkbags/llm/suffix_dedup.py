@@ -281,12 +281,14 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
 
     batches(spark, 1000)
     all_ = rows.mapInArrow(find, f"k {kind}, lo int, w int, a long, c long")
-    often = all_.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # tables, not plans: a join then deals out both sides anew, and Spark can divide an
+    # anchor that a large part of the rows has
+    often = settle(all_.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     some = settle(all_.join(often, "a", "left_semi"))
     # one row for each different context of a repeated anchor
     each = settle(some.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "w")).alias("r")))
     per = each.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ones"))
-    open_ = each.join(per.where("m > 1 and ones > 0"), "a").select("a", "n", F.col("r.k").alias("k"), F.col("r.lo").alias("lo"), F.col("r.w").alias("w"), (F.col("m") > most_contexts).alias("large"))
+    open_ = each.join(settle(per.where("m > 1 and ones > 0")), "a").select("a", "n", F.col("r.k").alias("k"), F.col("r.lo").alias("lo"), F.col("r.w").alias("w"), (F.col("m") > most_contexts).alias("large"))
     wanted = open_.groupBy("k").agg(F.collect_list(F.struct("a", "n", "lo", "w", "large")).alias("wanted"))  # bounded by the document
 
     def cut(it):
