@@ -34,11 +34,20 @@ def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> dic
 
 
 def consume(bag, checkpoint: str, into: str) -> DataFrame:
-    """The rows of a bag that this cursor hasn't handed out yet."""
-    target = f"{into.rstrip('/')}/{uuid.uuid4()}"
+    """The rows of a bag that this cursor hasn't handed out yet.  A batch that is tried
+    again replaces its own folder, so every row comes once."""
+    target, done = f"{into.rstrip('/')}/{uuid.uuid4()}", set()
     schema = bag.schema or bag.df.schema
-    drain(stream(bag.spark, bag.path, schema), target, checkpoint)
-    return bag.spark.read.schema(schema).parquet(target)
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/{batch}")
+        done.add(batch)
+
+    q = stream(bag.spark, bag.path, schema).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not done:
+        return bag.spark.createDataFrame([], schema)
+    return bag.spark.read.schema(schema).parquet(*[f"{target}/{b}" for b in sorted(done)])
 
 
 def rewind(checkpoint: str) -> str:
