@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks
+from .common import batches, chunks, tidied
 
 #: What splits text before byte-level merges (a fixed value of such vocabularies).
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 #: Words remembered by a worker before it starts anew.
 MEMORY = 250_000
 #: Words over so many bytes are merged one by one.
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", key:
     of the vocabulary.
     """
     spark = docs.sparkSession
-    batches(spark, 1000)
+    batches(spark, 500)
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(it):
@@ -357,7 +357,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", key:
 
     kind = docs.schema[key].dataType.simpleString()
     more = ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long{more}").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidied(run), f"k {kind}, n_tokens long{more}").withColumnRenamed("k", key)
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, utf8
+from .common import batches, chunks, tidied, utf8
 
 WINDOW = 10
 PREFIX = 4
 BLOCK_BYTES = 16 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -49,7 +49,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n-1 of an odd number and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_ODD, _INVERSE)):
-            _powers[k] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, base, np.uint64))))
+            _powers[k] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n + (1 << 16), base, np.uint64))))
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -169,10 +169,11 @@ def search(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[same], j[same], length[same]
 
 
-def _spans(docs: DataFrame, items: Items, text: str, key: str) -> DataFrame:
-    """For each document: its number of words, its spans of hit words, its items."""
+def _spans(docs: DataFrame, items: Items):
+    """A function of batches of (key, text) that makes a row for each document: its
+    number of words, its spans of hit words, its items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession, 500)
 
     def run(it):
         for b in it:
@@ -188,8 +189,7 @@ def _spans(docs: DataFrame, items: Items, text: str, key: str) -> DataFrame:
                     names[d].add(shared.value.ids[x])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.text_at)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["k", "n_words", "spans", "items"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
+    return run
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -199,10 +199,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     q = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull() & F.col("k").isNotNull())
     total = q.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     found = None
     for i in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).orderBy("k", "t").toArrow()  # of bounded size
-        one = _spans(docs, Items(rows.column(0).to_pylist(), rows.column(1).combine_chunks() if rows.num_rows else pa.array([], pa.string()), window), text, key)
+        got = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).orderBy("k", "t").toArrow()  # of bounded size
+        search_block = _spans(docs, Items(got.column(0).to_pylist(), got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.string()), window))
+        if blocks == 1:
+            break
+        one = rows.mapInArrow(tidied(search_block), f"k {kind}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         found = found.groupBy("k").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
@@ -223,6 +228,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
                 sha.append(sha256(",".join(names[-1]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha, pa.string()), pa.array(merged, b.schema.field(2).type), pa.array(names, pa.list_(pa.string())), pa.array([x > 0 for x in hit], pa.bool_())], [f.name for f in schema])
 
-    kind = docs.schema[key].dataType.simpleString()
     schema = docs.sparkSession.createDataFrame([], f"k {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<a:long,b:long>>, items array<string>, contaminated boolean").schema
-    return found.select("k", "n_words", "spans", "items").mapInArrow(run, schema).withColumnRenamed("k", key)
+    if blocks == 1:  # one Python step
+        return rows.mapInArrow(tidied(lambda it: run(search_block(it))), schema).withColumnRenamed("k", key)
+    return found.select("k", "n_words", "spans", "items").mapInArrow(tidied(run), schema).withColumnRenamed("k", key)

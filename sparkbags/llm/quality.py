@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, utf8
+from .common import batches, chunks, settle, tidied, utf8
 from .decontaminate import Words
 
 #: At most about so many labelled documents are learned from (by a hash of the key).
@@ -33,7 +33,7 @@ BUCKETS = 1 << 18
 THRESHOLD = 0.5
 #: Added to word counts; a word seen once or twice says little.
 SMOOTH = 2.0
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _KINDS = np.zeros((8, 256), np.int64)
 _KINDS[0, 65:91] = 1  # capitals
 _KINDS[1, 97:123] = 1
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     # a bounded number of short rows: broadcast, so that texts stay where they are
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("t", "q", "x")
     sample = settle(sample.where("t is not null").repartition(12))
-    batches(spark, 1000)
+    batches(spark, 500)
 
     def words(it):
         total = np.zeros((BUCKETS, 4), np.int64)
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(total[some, k], docs_of[k])) for k in range(4))], ["bucket", "a", "b", "c", "d"])
 
-    counts = sample.mapInArrow(words, "bucket long, a long, b long, c long, d long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most BUCKETS rows
+    counts = sample.mapInArrow(tidied(words), "bucket long, a long, b long, c long, d long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in "abcd"]).toArrow()  # at most BUCKETS rows
     table = np.zeros((BUCKETS + 1, 4))
     table[counts.column("bucket").to_numpy()] = np.stack([counts.column(c).to_numpy() for c in "abcd"], 1)
     size = table[-1]
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 x, _ = features(part.column(0), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1), part.column(2)], ["f", "q", "x"])
 
-    got = sample.mapInArrow(rows, "f array<double>, q int, x int").toArrow()  # bounded, like the sample
+    got = sample.mapInArrow(tidied(rows), "f array<double>, q int, x int").toArrow()  # bounded, like the sample
     if not got.num_rows:
         return Model(odds, np.zeros(1), np.ones(1), [])
     x = np.stack(got.column("f").to_pylist())
@@ -167,7 +167,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text", host: str = "sou
     """(row, h, p, e): all columns of each document as a struct, its host and path, and
     the classifier's probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession, 500)
     rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"), F.col(text).alias("t"))
 
     def run(it):
@@ -176,7 +176,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text", host: str = "sou
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shared.value.good(part.column(3)))], ["row", "h", "p", "e"])
 
     kind = rows.schema["row"].dataType
-    return rows.mapInArrow(run, f"row {kind.simpleString()}, h string, p string, e double")
+    return rows.mapInArrow(tidied(run), f"row {kind.simpleString()}, h string, p string, e double")
 
 
 def _logit(c):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, tidied
 from .graph import components
 
 SHINGLE = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["k", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidied(run), f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -39,14 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, utf8
+from .common import batches, chunks, settle, tidied, utf8
 
 LENGTH = 200
 GRAM = 48
 MOST_CONTEXTS = 16_384
 #: Bytes of contexts merged at a time, and in one shard.
-MERGE_BYTES, SHARD_BYTES = 1_500_000, 300_000
-_SLICE = 2 << 20
+MERGE_BYTES, SHARD_BYTES = 1_000_000, 250_000
+_SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -279,8 +279,8 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 of = np.searchsorted(off, first, "right") - 1
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array((first - off[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["k", "lo", "w", "a", "c"])
 
-    batches(spark, 1000)
-    all_ = rows.mapInArrow(find, f"k {kind}, lo int, w int, a long, c long")
+    batches(spark, 500)
+    all_ = rows.mapInArrow(tidied(find), f"k {kind}, lo int, w int, a long, c long")
     # tables, not plans: a join then deals out both sides anew, and Spark can divide an
     # anchor that a large part of the rows has
     often = settle(all_.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
@@ -301,7 +301,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in some], pa.int64()), pa.array([x["n"] for x in some], pa.int64()), pa.array([k] * len(some), b.schema.field(0).type), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["large"] for x in some], pa.bool_()), pa.array([raw[x["lo"] : x["lo"] + x["w"] - 1 + length] for x in some], pa.binary())], ["a", "n", "k", "lo", "large", "s"])
 
     batches(spark, 200)
-    pieces = _packed(rows).join(wanted, "k").select("k", "z", "wanted").mapInArrow(cut, f"a long, n long, k {kind}, lo int, large boolean, s binary")
+    pieces = _packed(rows).join(wanted, "k").select("k", "z", "wanted").mapInArrow(tidied(cut), f"a long, n long, k {kind}, lo int, large boolean, s binary")
     pieces = settle(pieces)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -327,7 +327,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
             yield done(len(held))
 
     batches(spark, 2000)
-    merged = pieces.where("not large").drop("large").repartition(n, "a").sortWithinPartitions("a").mapInArrow(merge, f"k {kind}, a int, b int")
+    merged = pieces.where("not large").drop("large").repartition(n, "a").sortWithinPartitions("a").mapInArrow(tidied(merge), f"k {kind}, a int, b int")
 
     def count(it):
         for b in it:
@@ -340,7 +340,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 h = [Hashes(raw, odd).of(s, s + length) for odd in (_ODD, 0xC2B2AE3D27D4EB4F)]
                 yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(of)), pa.array((part.column(3).to_numpy()[of] + at).astype(np.int32)), part.column(1).take(pa.array(of)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))], ["k", "at", "n", "h", "i"])
 
-    hashed = pieces.where("large").select("a", "n", "k", "lo", "s").mapInArrow(count, f"k {kind}, at int, n long, h long, i long")
+    hashed = pieces.where("large").select("a", "n", "k", "lo", "s").mapInArrow(tidied(count), f"k {kind}, at int, n long, h long, i long")
     twice = hashed.groupBy("h", "i").agg(F.sum("n").alias("m")).where("m > 1").select("h", "i")
     counted = hashed.where("n = 1").join(twice, ["h", "i"], "left_semi").select("k", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     heavy = some.join(each.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("w") - 1 + length).alias("b"))
@@ -357,8 +357,8 @@ def _packed(rows: DataFrame) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_.compress(("" if t is None else t).encode()) for t in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], ["k", "z", *more])
 
-    batches(rows.sparkSession, 1000)
-    return rows.mapInArrow(pack, ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", "z binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])]))
+    batches(rows.sparkSession, 500)
+    return rows.mapInArrow(tidied(pack), ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", "z binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])]))
 
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, whole: bool = False) -> DataFrame:
@@ -399,7 +399,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     batches(docs.sparkSession, 500)
     more = f", kept string, row {rows.schema['row'].dataType.simpleString()}" if whole else ""
     joined = _packed(rows).join(found, "k", "left").select("k", "z", "r", *(["row"] if whole else []))
-    return joined.mapInArrow(cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("k", key)
+    return joined.mapInArrow(tidied(cut), f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("k", key)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = None, **settings) -> DataFrame:
