@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle
+from .common import batches, chunks, settle, tidied
 
 LEAST = 0.1
 LEAST_PAGES = 8
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,8 +182,8 @@ def low_nodes(pages: DataFrame, url: str = "url", page: str = "html", key: str =
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["host", "node", "content", "page"])
 
-    batches(pages.sparkSession, 1000)
-    seen = rows.mapInArrow(run, "host string, node string, content long, page long").distinct()
+    batches(pages.sparkSession, 500)
+    seen = rows.mapInArrow(tidied(run), "host string, node string, content long, page long").distinct()
     content = seen.groupBy("host", "node", "content").agg(F.count("*").alias("f"))
     size = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("m"))
     mean = content.groupBy("host", "node").agg(F.avg(F.log("f")).alias("h"))
@@ -203,5 +203,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["k", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()
-    batches(pages.sparkSession, 1000)
-    return joined.mapInArrow(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)
+    batches(pages.sparkSession, 500)
+    return joined.mapInArrow(tidied(run), f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, settle
+from .common import batches, settle, tidied
 from .graph import components
 
 THRESHOLD = 0.9
@@ -149,7 +149,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
             c = _cells(x[keep], bits, tables)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.FixedSizeListArray.from_arrays(pa.array(x[keep].ravel()), dim).cast(pa.list_(pa.float64())), pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.int64()))], ["k", "v", "c"])
 
-    table = settle(rows.mapInArrow(hashed, "k long, v array<double>, c array<long>"))
+    table = settle(rows.mapInArrow(tidied(hashed), "k long, v array<double>, c array<long>"))
     placed = table.select("k", F.posexplode("c").alias("t", "cell"))
     sizes = placed.groupBy("t", "cell").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("t", "cell", F.ceil(F.col("n") / block).alias("blocks"))
@@ -194,7 +194,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
         if held:
             yield done()
 
-    found = settle(units.mapInArrow(links, "k long, r long, n long"))
+    found = settle(units.mapInArrow(tidied(links), "k long, r long, n long"))
     count = found.groupBy("k").agg(F.sum("n").alias("n_links"))
     of = components(found.select(F.col("k").alias("src"), F.col("r").alias("dst")))
     out = rows.select("k").join(count, "k", "left").join(of.withColumnRenamed("node", "k"), "k", "left")

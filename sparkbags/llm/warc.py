@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, work_dir
+from .common import batches, tidied, work_dir
 from .files import read_files, write_bytes
 
 SEGMENT = 32 << 10
@@ -126,7 +126,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """Write archives.  Of equal payloads of at least ``least`` bytes the one with the
     largest key is the response."""
     spark = pages.sparkSession
-    batches(spark, 1000)
+    batches(spark, 500)
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("p"))
     rows = rows.withColumn("d", F.sha1("p"))
@@ -148,7 +148,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["data"])
 
     # the byte after an archive is zero, which gzip readers take for padding
-    write_bytes(rows.select("k", "u", "p", refers.cast(kind).alias("m")).mapInArrow(run, "data binary"), F.col("data"), path, "\0", 1)
+    write_bytes(rows.select("k", "u", "p", refers.cast(kind).alias("m")).mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\0", 1)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -176,7 +176,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     batches(spark, 2)  # files
-    return read_files(spark, path).select("content").mapInArrow(run, PARSED)
+    return read_files(spark, path).select("content").mapInArrow(tidied(run), PARSED)
 
 
 def reassemble(parsed: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def reassemble(parsed: DataFrame) -> DataFrame:
     pieces = parsed.where("segment > 0").select(F.coalesce("origin", "record_id").alias("of"), F.when(F.col("segment") == 1, F.struct(*head)).alias("head"), part.alias("part"))
     pieces = pieces.groupBy("of").agg(F.max("head").alias("head"), F.collect_list("part").alias("parts"))
     pieces = pieces.select(*[F.coalesce(F.col(f"head.{c}"), F.col("of") if c == "record_id" else F.lit("response") if c == "record_type" else F.lit(None)).alias(c) for c in head], "parts")
-    return whole.mapInArrow(run, schema).unionByName(pieces.mapInArrow(run, schema))
+    return whole.mapInArrow(tidied(run), schema).unionByName(pieces.mapInArrow(tidied(run), schema))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
