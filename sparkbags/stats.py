@@ -29,3 +29,11 @@ def measured_write(df: DataFrame, bag, mode: str = "append") -> Statistics:
     seen, before, began = Observation(), bag.size() if mode == "append" else 0, time.monotonic()
     bag.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), mode)
     return Statistics(seen.get["rows"], time.monotonic() - began, bag.size() - before)
+
+
+def progress(spark) -> float:
+    """Share of the tasks of all running stages that are done; 1 if none runs."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for i in tracker.getActiveStageIds() if (s := tracker.getStageInfo(i))]
+    total = sum(s.numTasks for s in stages)
+    return sum(s.numCompletedTasks for s in stages) / total if total else 1.0

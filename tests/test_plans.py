@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sparkbags import cli
 from sparkbags.bag import Bag
 from sparkbags.plans.app import Application, Blueprint
-from sparkbags.stats import measured_write
+from sparkbags.stats import measured_write, progress
 from sparkbags.streaming import consume
 
 
@@ -49,7 +49,7 @@ def test_bag_and_statistics(spark, tmp_path):
     got = measured_write(spark.range(10), bag)
     assert got.rows == 10 and got.bytes_written > 0 and "10 rows" in str(got)
     bag.write(spark.range(5))
-    assert bag.df.count() == 15
+    assert bag.df.count() == 15 and progress(spark) == 1.0
     assert bag.truncate().df.count() == 0
     with pytest.raises(FileNotFoundError):
         Bag(spark, str(tmp_path), "none").df  # noqa: B018
