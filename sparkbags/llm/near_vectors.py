@@ -19,7 +19,8 @@ is too large for a task.  A unit sends a number of links for each vector and a
 spanning forest of its links, never the pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, or whose
-length is not the most common one, link with nothing.  The key must be unique.
+length is not the most common one, link with nothing; nor do rows without a key, whose
+``component_id`` is null.  The key must be unique.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
             c = _cells(x[keep], bits, tables)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.FixedSizeListArray.from_arrays(pa.array(x[keep].ravel()), dim).cast(pa.list_(pa.float64())), pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.int64()))], ["k", "v", "c"])
 
-    table = settle(rows.mapInArrow(tidied(hashed), "k long, v array<double>, c array<long>"))
+    table = settle(rows.where("k is not null").mapInArrow(tidied(hashed), "k long, v array<double>, c array<long>"))
     placed = table.select("k", F.posexplode("c").alias("t", "cell"))
     sizes = placed.groupBy("t", "cell").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("t", "cell", F.ceil(F.col("n") / block).alias("blocks"))
@@ -199,4 +200,4 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     of = components(found.select(F.col("k").alias("src"), F.col("r").alias("dst")))
     out = rows.select("k").join(count, "k", "left").join(of.withColumnRenamed("node", "k"), "k", "left")
     out = out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "k").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, work_dir
+from .common import batches, chunks, settle, tidied, work_dir
 from .files import read_files, write_bytes
 
 BLOCK = 1024
 FILE_IDS = 1 << 20
+#: Stands for a null key in a file.
+NO_KEY = -(1 << 63)
 PERCENTILES = (80, 90, 95, 99, 100)
 _HEAD = struct.Struct("<4sIQIQIII")
 _BLOCK = struct.Struct("<IBHH")
@@ -134,13 +136,16 @@ class LibraryEncoder:
     MEMORY = 600_000
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_buffer(data)
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.split = None if self.tok.normalizer else self._splitter()
         # a token that no piece can hold keeps pieces apart
         self.mark = next((x for x in self.added.items() if self.split and len(self.split(x[0])) > 1), None)
+        # pieces are split already: the library only has to merge
+        self.whole = self.tok.pre_tokenizer
+        self.merging = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) if self.split else self.whole
         self.forget()
 
     def forget(self) -> None:
@@ -150,6 +155,7 @@ class LibraryEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         ids, sizes = [self.ids], []
+        self.tok.pre_tokenizer = self.merging
         for k in range(0, len(pieces), 4000):
             some = pieces[k : k + 4000]
             if self.mark:
@@ -193,6 +199,7 @@ class LibraryEncoder:
         cuts = ends[np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))].tolist()
         end = np.array([end_id], np.uint32)
         out = [np.concatenate((ids[a:b], end)) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        self.tok.pre_tokenizer = self.whole
         for i in sorted(whole):
             out[i] = np.array([*self.tok.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
         return out
@@ -203,12 +210,13 @@ _encoders: dict[int, LibraryEncoder] = {}
 
 def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str = "text", key: str = "doc_id", file_ids: int = FILE_IDS) -> None:
     """Encode all texts (null: empty), append ``end_id`` to each, and write the ids in
-    ascending order of ``key`` (an integer, not null; equal keys stay neighbours)."""
+    ascending order of ``key`` (an integer; null comes first, as ``NO_KEY``; equal keys
+    stay neighbours)."""
     spark = docs.sparkSession
     batches(spark, 1000)
     shared = spark.sparkContext.broadcast(tokenizer)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k")
 
     def run(it):
         from pyspark import TaskContext
@@ -241,7 +249,7 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
         if keys:
             yield file()
 
-    write_bytes(rows.mapInArrow(run, "data binary"), F.col("data"), path, "\n", 1)
+    write_bytes(rows.mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\n", 1)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -257,7 +265,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.int32()), pa.array(at, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["key", "part", "at", "ids"])
 
     batches(spark, 4)  # files
-    return read_files(spark, path).select("content").mapInArrow(run, "key long, part int, at long, ids binary")
+    return read_files(spark, path).select("content").mapInArrow(tidied(run), "key long, part int, at long, ids binary")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -269,13 +277,13 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             ids = [x.as_py() for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["key", "part", "at", "n_tokens", "ids_crc32"])
 
-    rows = settle(read(spark, path).mapInArrow(run, "key long, part int, at long, n_tokens long, ids_crc32 long"))
+    rows = settle(read(spark, path).mapInArrow(tidied(run), "key long, part int, at long, n_tokens long, ids_crc32 long"))
     # one row for each partition of the range, as many as Spark keeps tasks of anyway
     totals = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     order = sorted(totals)
     base = dict(zip(order, itertools.accumulate([0, *(totals[p] for p in order)]), strict=False))
     base = spark.createDataFrame([(p, n) for p, n in base.items()] or [], "part int, base long")
-    return rows.join(F.broadcast(base), "part").select("key", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(base), "part").select(F.nullif(F.col("key"), F.lit(NO_KEY)).alias("key"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: bytes, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -14,7 +14,8 @@ length.  A record of which a segment is missing has a null payload and
 ``complete`` false.  Groups are as large as one record at most.
 
 Null payloads count as empty.  Rows that repeat id and payload are each written as
-they are (each a response); an id's records are kept apart by nothing else.
+they are (each a response); an id's records are kept apart by nothing else.  A null id
+comes back as null; among equal payloads it is never the response.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     rows = rows.withColumn("d", F.sha1("p"))
     shared = rows.where(F.length("p") >= least).groupBy("d").agg(F.max("k").alias("m"), F.count("*").alias("n")).where("n > 1").select("d", "m")
     rows = rows.join(shared, "d", "left")
-    refers = F.when((F.length("p") >= least) & (F.col("m") != F.col("k")), F.col("m"))
+    refers = F.when((F.length("p") >= least) & ~F.col("m").eqNullSafe(F.col("k")), F.col("m"))
 
     def run(it):
         held, size = [], 0
@@ -220,5 +221,5 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     write(pages, path, key, url, payload, least)
     kind = pages.schema[key].dataType.simpleString()
     got = reassemble(read_records(spark, path))
-    own = F.substring("record_id", len(_ID) + 1, 64).cast(kind)
-    return got.select(own.alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.substring("refers_to", len(_ID) + 1, 64).cast(kind).alias("refers_to"))
+    own = F.substring("record_id", len(_ID) + 1, 64).try_cast(kind)
+    return got.select(own.alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.substring("refers_to", len(_ID) + 1, 64).try_cast(kind).alias("refers_to"))
