@@ -33,7 +33,7 @@ from .files import read_files, write_bytes
 
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
-FILE_BYTES = 8 << 20
+FILE_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 _READ = 16 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -152,34 +152,77 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     write_bytes(rows.select("k", "u", "p", refers.cast(kind).alias("m")).mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\0", 1)
 
 
+_NAMES = [x.split()[0] for x in PARSED.split(", ")]
+_KINDS = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in PARSED.split(", ")]
+_HEAD = ["record_id", "record_type", "url", "refers_to", "digest", "payload_length"]
+DECODED = "record_id string, record_type string, url string, refers_to string, payload binary, digest string, payload_bytes long, complete boolean"
+
+
+def _parse(it):
+    """Batches of records from batches of archives."""
+
+    def bare(x):
+        return None if x is None else x.strip("<>")
+
+    for b in it:
+        for data in b.column(0):
+            rows = []
+            for h, block in parse(data.as_py()):
+                rows.append((bare(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), bare(h.get("warc-segment-origin-id")), int(h.get("warc-segment-total-length", -1)), block))
+                if len(rows) >= 128:
+                    yield rows
+                    rows = []
+            if rows:
+                yield rows
+
+
+def _decode(rows: list[dict]) -> pa.RecordBatch:
+    out = []
+    for r in rows:
+        got, ok = None, True
+        if r["record_type"] != "revisit":
+            try:
+                parts = sorted(r["parts"] or [], key=lambda x: x["segment"])
+                numbers = [x["segment"] for x in parts]
+                block = b"".join(x["block"] for x in parts)
+                ok = numbers in ([0], list(range(1, len(parts) + 1))) and (numbers == [0] or parts[-1]["total_length"] == len(block))
+                got = payload_of(block) if ok else None
+            except ValueError:
+                got, ok = None, False
+        out.append((r["record_id"], r["record_type"], r["url"], r["refers_to"], got, digest(got) if got is not None else r["digest"], len(got) if got is not None else r["payload_length"], ok))
+    cols = list(zip(*out, strict=True)) if out else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 4 + [pa.binary(), pa.string(), pa.int64(), pa.bool_()], strict=True)], [x.split()[0] for x in DECODED.split(", ")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of all archives of a folder."""
 
     def run(it):
-        def bare(x):
-            return None if x is None else x.strip("<>")
-
-        for b in it:
-            for data in b.column(0):
-                rows = []
-                for h, block in parse(data.as_py()):
-                    rows.append((bare(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), bare(h.get("warc-segment-origin-id")), int(h.get("warc-segment-total-length", -1)), block))
-                    if len(rows) >= 128:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
-
-    names = [x.split()[0] for x in PARSED.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in PARSED.split(", ")]
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for rows in _parse(it):
+            yield _batch(rows)
 
     batches(spark, 2)  # files
     return read_files(spark, path).select("content").mapInArrow(tidied(run), PARSED)
 
 
+def _reassembled(pieces: DataFrame) -> DataFrame:
+    """Segments grouped by origin, ordered, checked and decoded."""
+    part = F.struct("segment", "total_length", "block").alias("part")
+    pieces = pieces.select(F.coalesce("origin", "record_id").alias("of"), F.when(F.col("segment") == 1, F.struct(*_HEAD)).alias("head"), part)
+    pieces = pieces.groupBy("of").agg(F.max("head").alias("head"), F.collect_list("part").alias("parts"))
+    pieces = pieces.select(*[F.coalesce(F.col(f"head.{c}"), F.col("of") if c == "record_id" else F.lit("response") if c == "record_type" else F.lit(None)).alias(c) for c in _HEAD], "parts")
+
+    def run(it):
+        for b in it:
+            yield _decode(b.to_pylist())
+
+    return pieces.mapInArrow(tidied(run), DECODED)
+
+
 def reassemble(parsed: DataFrame) -> DataFrame:
     """(record_id, record_type, url, refers_to, payload, digest, payload_bytes,
     complete): a row for each record but continuations.  A revisit's payload is null;
@@ -187,30 +230,27 @@ def reassemble(parsed: DataFrame) -> DataFrame:
 
     def run(it):
         for b in it:
-            out = []
-            for r in b.to_pylist():
-                got, ok = None, True
-                if r["record_type"] != "revisit":
-                    try:
-                        parts = sorted(r["parts"] or [], key=lambda x: x["segment"])
-                        numbers = [x["segment"] for x in parts]
-                        block = b"".join(x["block"] for x in parts)
-                        ok = numbers in ([0], list(range(1, len(parts) + 1))) and (numbers == [0] or parts[-1]["total_length"] == len(block))
-                        got = payload_of(block) if ok else None
-                    except ValueError:
-                        got, ok = None, False
-                out.append((r["record_id"], r["record_type"], r["url"], r["refers_to"], got, digest(got) if got is not None else r["digest"], len(got) if got is not None else r["payload_length"], ok))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 4 + [pa.binary(), pa.string(), pa.int64(), pa.bool_()], strict=True)], ["record_id", "record_type", "url", "refers_to", "payload", "digest", "payload_bytes", "complete"])
-
-    schema = "record_id string, record_type string, url string, refers_to string, payload binary, digest string, payload_bytes long, complete boolean"
-    part = F.struct("segment", "total_length", "block")
-    head = ["record_id", "record_type", "url", "refers_to", "digest", "payload_length"]
-    whole = parsed.where("segment = 0").select(*head, F.array(part).alias("parts"))
-    pieces = parsed.where("segment > 0").select(F.coalesce("origin", "record_id").alias("of"), F.when(F.col("segment") == 1, F.struct(*head)).alias("head"), part.alias("part"))
-    pieces = pieces.groupBy("of").agg(F.max("head").alias("head"), F.collect_list("part").alias("parts"))
-    pieces = pieces.select(*[F.coalesce(F.col(f"head.{c}"), F.col("of") if c == "record_id" else F.lit("response") if c == "record_type" else F.lit(None)).alias(c) for c in head], "parts")
-    return whole.mapInArrow(tidied(run), schema).unionByName(pieces.mapInArrow(tidied(run), schema))
+            yield _decode([r | {"parts": [r]} for r in b.to_pylist()])
+
+    return parsed.where("segment = 0").mapInArrow(tidied(run), DECODED).unionByName(_reassembled(parsed.where("segment > 0")))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``reassemble(read_records(...))``, whole records in one Python step."""
+
+    def whole(it):
+        for rows in _parse(it):
+            rows = [dict(zip(_NAMES, r, strict=True)) for r in rows if r[6] == 0]
+            yield _decode([r | {"parts": [r]} for r in rows])
+
+    def cut(it):
+        for rows in _parse(it):
+            if rows := [r for r in rows if r[6] > 0]:
+                yield _batch(rows)
+
+    batches(spark, 2)  # files
+    files = read_files(spark, path).select("content")
+    return files.mapInArrow(tidied(whole), DECODED).unionByName(_reassembled(files.mapInArrow(tidied(cut), PARSED)))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -220,6 +260,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     path = work_dir(spark)
     write(pages, path, key, url, payload, least)
     kind = pages.schema[key].dataType.simpleString()
-    got = reassemble(read_records(spark, path))
+    got = read_pages(spark, path)
     own = F.substring("record_id", len(_ID) + 1, 64).try_cast(kind)
     return got.select(own.alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.substring("refers_to", len(_ID) + 1, 64).try_cast(kind).alias("refers_to"))
