@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,28 @@ def consume(bag, checkpoint: str, into: str) -> DataFrame:
     return bag.spark.read.schema(schema).parquet(*[f"{target}/{b}" for b in sorted(done)])
 
 
+def drain_counts(counts: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """The last count of every group, open windows included: a watermark never passes
+    the newest windows, so each batch writes the groups it changed (a batch that is
+    tried again replaces its own folder) and a group's newest batch holds its count."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    spark = counts.sparkSession
+    rest = [c for c in counts.columns if c not in keys]
+    try:
+        got = spark.read.schema(T.StructType([*counts.schema, T.StructField("batch", T.LongType())])).parquet(out)
+    except AnalysisException:  # nothing was ever counted
+        return spark.createDataFrame([], counts.schema)
+    last = got.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("last"))
+    return last.select(*keys, *(f"last.{c}" for c in rest))
+
+
 def rewind(checkpoint: str) -> str:
     """A new cursor: a checkpoint folder beside the old one."""
     return f"{checkpoint.rstrip('/')}-{uuid.uuid4().hex[:8]}"

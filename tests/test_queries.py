@@ -43,6 +43,30 @@ def test_windows_lose_nothing(spark):
     assert df.count() > 0
 
 
+def test_windows_hold_all_events(spark, con):
+    """The newest windows too, which no watermark passes."""
+    df = queries.stream_windows(spark, DATA)
+    days, n = con.execute("select count(distinct date_trunc('day', ts)), count(ts) from events").fetchone()
+    assert df.agg({"n": "sum"}).first()[0] == n
+    assert df.select("day").distinct().count() == days
+
+
+def test_counts_over_several_drains(spark, tmp_path):
+    """A group that a later drain changes has its last count, and is there once."""
+    from pyspark.sql import functions as F
+
+    from sparkbags.streaming import consume
+
+    src, want = str(tmp_path / "in"), {}
+    for k in range(3):
+        spark.range(10 * (k + 1)).select(F.expr("timestamp'2024-01-01 12:00:00'").alias("ts"), F.lit("a").alias("key")).write.mode("append").parquet(src)
+        want = {"a": want.get("a", 0) + 10 * (k + 1)}
+        counts = consume.windowed_counts(consume.stream(spark, src, "ts timestamp, key string"), "ts", "key")
+        counts = counts.select(F.col("window.start").alias("day"), "key", "n")
+        got = consume.drain_counts(counts, ["day", "key"], str(tmp_path / "out"), str(tmp_path / "cursor"))
+        assert {r.key: r.n for r in got.collect()} == want and got.count() == 1
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
