@@ -10,10 +10,14 @@ importance 1.  Nodes on at least ``LEAST_PAGES`` pages whose importance is below
 headings, list items without class or id) are never nodes of their own: a paragraph
 that several articles share is content.
 
-Elements whose name, role, class or id says that they are no content (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-have importance zero from the start.  If a page has an article or main element, only
-these are read.
+All branches of a page are in the tree.  Two priors stand beside the entropy.  An
+element whose tag, role, class or id says that it is no content (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) is left out, for an advert
+that differs on every page has importance 1; but not if it holds the page's main or
+largest article element, or most of the page's text: then the tree decides.  If a page
+has an article or main element, what stands outside is read only if the tree vouches
+for it: some node around it, without such a name, is on at least ``LEAST_PAGES`` pages
+and has an importance of ``MOST`` or more.  Scripts, styles and controls are no text.
 
 The blocks that are left, in page order, are the text.  Character references are
 decoded; white space (a line break element too) becomes one space.
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import batches, chunks, settle, tidied
 
 LEAST = 0.1
+MOST = 0.9
 LEAST_PAGES = 8
 _SLICE = 1 << 20
 
@@ -48,7 +53,8 @@ CLOSES_P = BLOCK - set("caption dd dt body html legend li optgroup option tbody
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 PLAIN = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre tr tbody thead tfoot figcaption caption summary".split())
 # Fixed values of this extractor: what is no content.
-NO_CONTENT = set("head nav footer aside form script style noscript template button select textarea input iframe object embed applet canvas svg dialog menu datalist noembed noframes".split())
+NO_TEXT = set("head script style noscript template button select textarea input iframe object embed applet canvas svg datalist noembed noframes".split())
+NO_CONTENT = set("nav footer aside form dialog menu".split())
 NO_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NO_NAME = set("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu navbar nav navigation breadcrumb breadcrumbs comment comments disqus respond share sharing social related recommended newsletter subscribe signup popup modal widget footer pagination pager toolbar masthead".split())
 NO_NAME_OUTSIDE = {"header"}
@@ -58,11 +64,14 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
-    """The blocks of a page that may be content: nodes above, inside an article or
-    main element, text."""
-    out: list[tuple[tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, bool, bool, tuple[str, ...]]] = [("", False, False, ())]  # tag, dropped, main, nodes
+def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, str, bool, bool]]:
+    """All blocks of a page: nodes above, inside an article or main element, text, left
+    out for a name, below any name."""
+    out: list[tuple[tuple[str, ...], bool, str, tuple[int, ...], tuple[int, ...]]] = []
+    # tag, no text, main, nodes, named elements around, article and main elements around
+    stack: list[tuple[str, bool, bool, tuple[str, ...], tuple[int, ...], tuple[int, ...]]] = [("", False, False, (), (), ())]
+    named: list[int] = []  # characters below
+    mains: list[tuple[int, bool, tuple[int, ...]]] = []  # characters below, main element, named elements around
     held: list[str] = []
     page = page or ""
     at = 0
@@ -72,7 +81,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
             text = " ".join("".join(held).split())
             held.clear()
             if text and not stack[-1][1]:
-                out.append((stack[-1][3], stack[-1][2], text))
+                out.append((stack[-1][3], stack[-1][2], text, stack[-1][4], stack[-1][5]))
+                for i in stack[-1][4]:
+                    named[i] += len(text)
+                for i in stack[-1][5]:
+                    mains[i] = (mains[i][0] + len(text), *mains[i][1:])
 
     def say(text: str):
         if text and not stack[-1][1]:
@@ -115,43 +128,69 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
             continue
         if tag in VOID or (m[3].endswith("/") and tag not in BLOCK):
             continue
-        _, dropped, main, nodes = stack[-1]
+        _, dropped, main, nodes, doubts, within = stack[-1]
         if not dropped:
             attrs = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(m[3])} if "=" in m[3] else {}
             style = f"{attrs.get('class', '')} {attrs.get('id', '')}"
             names = {x.lower() for x in _NAME.findall(style)} if style != " " else set()
             main_ = tag in ("article", "main") or attrs.get("role", "").lower() == "main"
-            if tag in NO_CONTENT or attrs.get("role", "").lower() in NO_ROLE or (tag == "header" and not main):
+            doubt = False
+            if tag in NO_TEXT:
                 dropped = True
+            elif tag in NO_CONTENT or (attrs.get("role", "").lower() in NO_ROLE and tag not in ("html", "body", "main")) or (tag == "header" and not main):
+                doubt = True
             elif names and tag not in ("html", "body", "main") and (tag != "article" or names & {"comment", "comments"}):
-                dropped = bool(names & NO_NAME) or (not main and bool(names & NO_NAME_OUTSIDE))
-            main = main or main_
+                doubt = bool(names & NO_NAME) or (not main and bool(names & NO_NAME_OUTSIDE))
+            if main_ and not doubt:
+                main = True
+                within = (*within, len(mains))
+                mains.append((0, tag != "article", doubts))
+            if doubt:
+                doubts = (*doubts, len(named))
+                named.append(0)
             if tag in BLOCK and (tag not in PLAIN or style != " "):
                 nodes = (*nodes, " ".join([tag, *sorted(style.split())]))
-        stack.append((tag, dropped, main, nodes))
+        stack.append((tag, dropped, main, nodes, doubts, within))
     rest = page[at:]
     cut = re.search(r"<[/a-zA-Z!?]", rest)  # a tag that the page's end cuts off
     say(rest[: cut.start()] if cut else rest)
     flush()
-    return out
+    total = sum(len(b[2]) for b in out)
+    spared = {i for i, n in enumerate(named) if 2 * n > total}
+    largest = max((m[0] for m in mains if not m[1]), default=0)
+    for n, is_main, around in mains:
+        if n and (is_main or n == largest):
+            spared.update(around)
+    return [(nodes, main, text, any(i not in spared for i in doubts), bool(doubts)) for nodes, main, text, doubts, _ in out]
 
 
-def _main(found: list[tuple[tuple[str, ...], bool, str]]) -> list[tuple[tuple[str, ...], bool, str]]:
-    return [b for b in found if b[1]] if any(b[1] for b in found) else found
+def _has_main(found: list[tuple[tuple[str, ...], bool, str, bool, bool]]) -> bool:
+    return any(b[1] and not b[3] for b in found)
 
 
 def _key(nodes: tuple[str, ...]) -> str:
     return "/".join(nodes)
 
 
-def text_of(page: str | None, removed: set[str] = frozenset()) -> str:
+def text_of(page: str | None, removed: set[str] = frozenset(), vouched: set[str] = frozenset()) -> str:
     keep = []
-    for nodes, _, text in _main(blocks(page)):
-        if not removed or not any(_key(nodes[: k + 1]) in removed for k in range(len(nodes))):
-            keep.append(text)
+    found = blocks(page)
+    only = _has_main(found)
+    for nodes, main, text, left_out, named in found:
+        if left_out or (only and not main and (named or not vouched)):
+            continue
+        around = [_key(nodes[: k + 1]) for k in range(len(nodes))] if removed or vouched else []
+        if any(x in removed for x in around) or (only and not main and not any(x in vouched for x in around)):
+            continue
+        keep.append(text)
     return "\n\n".join(keep)
 
 
+def _above(nodes: tuple[str, ...]) -> range:
+    """The places of the nodes above the first article or main element."""
+    return range(next((k for k, node in enumerate(nodes) if node.split(" ")[0] in ("main", "article")), 0))
+
+
 def _rows(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     return pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), host.alias("host"), F.col(page).alias("t"))
@@ -162,8 +201,9 @@ def _hash(text: str) -> int:
 
 
 def low_nodes(pages: DataFrame, url: str = "url", page: str = "html", key: str = "page_id", least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, nodes): of each host the nodes of little importance.  Article and main
-    elements and what stands above them are kept."""
+    """(host, nodes, vouched): of each host the nodes of little importance, and those of
+    high importance outside article and main elements.  Article and main elements and
+    what stands above them are neither."""
     rows = _rows(pages, key, url, page)
 
     def run(it):
@@ -172,10 +212,14 @@ def low_nodes(pages: DataFrame, url: str = "url", page: str = "html", key: str =
                 out = []
                 for host, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     below: dict[str, list[str]] = {}
-                    for nodes, _, text in _main(blocks(t)):
+                    found = blocks(t)
+                    only = _has_main(found)
+                    above = {_key(nodes[: k + 1]) for nodes, main, _, left_out, _ in found if main and not left_out for k in _above(nodes)}
+                    for nodes, _, text, *_ in found:
                         for k, node in enumerate(nodes):
-                            if node.split(" ")[0] not in ("html", "body", "main", "article"):
-                                below.setdefault(_key(nodes[: k + 1]), []).append(text)
+                            key = _key(nodes[: k + 1])
+                            if node.split(" ")[0] not in ("html", "body", "main", "article") and not (only and key in above):
+                                below.setdefault(key, []).append(text)
                     whole = _hash(t or "")
                     for node, texts in below.items():
                         out += [(host, node, x, whole) for x in {_hash(x) for x in texts}]
@@ -187,19 +231,21 @@ def low_nodes(pages: DataFrame, url: str = "url", page: str = "html", key: str =
     content = seen.groupBy("host", "node", "content").agg(F.count("*").alias("f"))
     size = seen.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("m"))
     mean = content.groupBy("host", "node").agg(F.avg(F.log("f")).alias("h"))
-    low = mean.join(size.where(F.col("m") >= least_pages), ["host", "node"]).where(1 - F.col("h") / F.log("m") < least)
-    return low.groupBy("host").agg(F.collect_set("node").alias("nodes"))
+    weight = 1 - F.col("h") / F.log("m")
+    outside = ~F.col("node").rlike("(^|/)(article|main)( |/|$)")
+    known = mean.join(size.where(F.col("m") >= least_pages), ["host", "node"]).withColumn("low", weight < least).where(F.col("low") | ((weight >= MOST) & outside))
+    return known.groupBy("host").agg(F.collect_set(F.when(F.col("low"), F.col("node"))).alias("nodes"), F.collect_set(F.when(~F.col("low"), F.col("node"))).alias("vouched"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars): a row for each page."""
     low = settle(low_nodes(pages, url, page, key))  # its size is known: broadcast if small
-    joined = _rows(pages, key, url, page).join(low, "host", "left").select("k", "u", "t", "nodes")
+    joined = _rows(pages, key, url, page).join(low, "host", "left").select("k", "u", "t", "nodes", "vouched")
 
     def run(it):
         for b in it:
             for part in chunks(b, "t", _SLICE):
-                text = [text_of(t, set(n or ())) for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                text = [text_of(t, set(n or ()), set(v or ())) for t, n, v in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["k", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -118,3 +118,23 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert got[3].text == "text 3\n\nshared" and got[3].n_chars == 14
     assert got[99].text == "Same words\n\ntext 1\n\nshared" and (got[100].text, got[100].url) == ("", None)
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<body><div class="page has-sidebar"><article><p>long text</p></article><div class="sidebar">s</div></div>', "long text"),
+    ('<div class="widget-container"><div class="menu">m</div><main><p>long text</p></main></div>', "long text"),
+    ('<form id="aspnet"><div class="social notice"><p>most of the text</p></div><div class="menu">m</div></form>', "most of the text"),
+    ('<article><p>long text</p></article><div class="related"><article><p>teaser</p></article></div>', "long text"),
+    ('<article><p>long text</p></article><div id="comments"><article class="comment"><p>a comment that is longer</p></article></div>', "long text"),
+])
+def test_names_never_drop_the_main_text(page, want):
+    assert html_text.text_of(page) == want
+
+
+def test_site_tree_reads_all_branches(spark):
+    """Outside the article: what differs is read, what repeats, has a name or was never
+    seen often isn't; inside, what repeats leaves."""
+    page = '<body><div class="top">Same</div><div class="lead"><p>lead %d</p></div><article><p>text %d</p><div class="box">Buy</div></article><div class="ad">ad %d</div><p>out %d</p></body>'
+    rows = [(i, f"http://h.com/{i}", page.replace("%d", str(i)), "k") for i in range(20)] + [(99, "http://k.com/", page.replace("%d", "1"), "k")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3] == "lead 3\n\ntext 3" and got[99] == "text 1\n\nBuy"
