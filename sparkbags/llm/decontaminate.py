@@ -15,7 +15,8 @@ one pass over the documents for each block.  Nothing is shuffled with one block.
 
 Words are maximal runs of 0-9, a-z (after A-Z became lower case) and anything beyond
 ASCII.  Null texts have no words; items without words are never hit.  With an empty
-item table all documents are clean.  Equal item ids count as one item.
+item table all documents are clean.  Equal item ids count as one item; items without
+an id make hits, but don't appear in the list of items.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, tidied, utf8
+from .common import batches, chunks, settle, tidied, utf8
 
 WINDOW = 10
 PREFIX = 4
@@ -186,7 +187,8 @@ def _spans(docs: DataFrame, items: Items):
                 first = w.text_at[of] if len(of) else of
                 for d, a, n, x in zip(of.tolist(), (start - first).tolist(), length.tolist(), shared.value.item[j].tolist(), strict=True):
                     spans[d].append({"a": a, "b": a + n})
-                    names[d].add(shared.value.ids[x])
+                    if shared.value.ids[x] is not None:
+                        names[d].add(shared.value.ids[x])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.text_at)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["k", "n_words", "spans", "items"])
 
     return run
@@ -195,22 +197,26 @@ def _spans(docs: DataFrame, items: Items):
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, spans, items, contaminated): a row
     for each document.  ``spans`` are merged runs of hit words, ``items`` sorted ids.
-    With several blocks of items ``key`` must be unique."""
-    q = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull() & F.col("k").isNotNull())
+    Rows are told apart by an identity of their own, whatever ``key`` holds."""
+    q = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = q.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    if blocks > 1:  # what the blocks find of a row meets by the row's own identity
+        ids = settle(rows.select(F.monotonically_increasing_id().alias("row"), "k", "t"))
+        rows = ids.select(F.col("row").alias("k"), "t")
     found = None
     for i in range(blocks):
-        got = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).orderBy("k", "t").toArrow()  # of bounded size
+        got = q.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i).orderBy("k", "t").toArrow()  # of bounded size
         search_block = _spans(docs, Items(got.column(0).to_pylist(), got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.string()), window))
         if blocks == 1:
             break
-        one = rows.mapInArrow(tidied(search_block), f"k {kind}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
+        one = rows.mapInArrow(tidied(search_block), f"k long, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         found = found.groupBy("k").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        found = found.withColumnRenamed("k", "row").join(ids.select("row", "k"), "row")
 
     def run(it):
         for b in it:

@@ -200,6 +200,15 @@ def test_contamination(spark, n_items, block):
     assert all(sum(s.b - s.a for s in x.spans) == x.n_hit for x in got.values())
 
 
+@pytest.mark.parametrize("block", [1 << 24, 40])
+def test_contamination_of_null_and_repeated_ids(spark, block):
+    """Items without an id hit; each row has its own result, with any number of blocks."""
+    docs = spark.createDataFrame([(1, "x a b c y"), (1, "clean"), (None, "d e f"), (None, "clean too"), (2, "g h i")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (5, "d e f"), (None, "g h i"), (5, "k l m n"), (6, "o p q r s t u")], "item_id long, text string")
+    got = decontaminate.contamination(docs, items, block_bytes=block).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, x.items, x.contaminated) for x in got) == [("1", 1, 0, [], False), ("1", 5, 3, [], True), ("2", 3, 3, [], True), ("None", 2, 0, [], False), ("None", 3, 3, ["5"], True)]
+
+
 def test_longest_match_is_found():
     import pyarrow as pa
 
