@@ -1,11 +1,15 @@
-"""Byte-level BPE encoding by merge replay, and decoding.
+"""Byte-level BPE encoding with the ids of a merge replay, and decoding.
 
 The words (matches of the split pattern) of a block of documents are reduced to the
-distinct ones.  Their bytes lie in one array of symbols, and an inverted index maps
-every possible merge to the positions where it applies.  The merges are replayed in
-rank order over all words at once; a merge only touches its two neighbours.  Words
-already replayed are remembered up to a bound.  A block is what one task reads at a
-time, so nothing is shuffled and memory is bounded by the block.
+distinct ones.  Words of at most 48 bytes, nearly all, are not replayed in global rank
+order and have no inverted index: words of one length are rows of a matrix, and every
+turn applies each row's own lowest rank and looks up the two pairs it touched.  Merges
+in different words don't affect each other, so the ids are those of the replay, and a
+turn is a few array operations instead of a Python step for each merge and position.
+Longer words have an inverted index from merges to positions that is replayed in rank
+order (``replay_long``), for there a scan of the row at every turn would be quadratic.
+Words already merged are remembered up to a bound.  A block is what one task reads at
+a time, so nothing is shuffled and memory is bounded by the block.
 
 Equal ranks apply from left to right within a word, and a merge that brings a lower
 rank into a word is followed by that rank before the word's other positions: the
