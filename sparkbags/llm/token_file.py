@@ -21,6 +21,7 @@ single longer document makes a longer file).
 from __future__ import annotations
 
 import itertools
+import json
 import struct
 import zlib
 
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, tidied, work_dir
+from .common import batches, chunks, settle, tidied, utf8, work_dir
 from .files import read_files, write_bytes
+from .pieces import Codes, split
 
 BLOCK = 1024
 FILE_IDS = 1 << 20
@@ -39,7 +41,7 @@ NO_KEY = -(1 << 63)
 PERCENTILES = (80, 90, 95, 99, 100)
 _HEAD = struct.Struct("<4sIQIQIII")
 _BLOCK = struct.Struct("<IBHH")
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -76,21 +78,31 @@ def _pack(ids: np.ndarray) -> list[bytes]:
     return out
 
 
-def unpack_block(data: memoryview, at: int) -> np.ndarray:
-    low, width, n_out, n = _BLOCK.unpack_from(data, at)
-    at += _BLOCK.size
-    size = -(-width * n // 8)
-    byte = np.zeros((n, 4), np.uint8)
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=width * n, bitorder="little").reshape(n, width)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        byte[:, : packed.shape[1]] = packed
-    v = byte.view("<u4").ravel()
-    if n_out:
-        at += size
-        where = np.frombuffer(data, "<u2", n_out, at)
-        v[where] |= (np.frombuffer(data, "<u4", n_out, at + 2 * n_out).astype(np.uint64) << np.uint64(width)).astype("<u4")
-    return v + np.uint32(low)
+def unpack_blocks(data: memoryview, at: list[int]) -> np.ndarray:
+    """The ids of the blocks that begin at these places, one block after the other."""
+    heads = [_BLOCK.unpack_from(data, x) for x in at]
+    n = np.array([h[3] for h in heads], np.int64)
+    first = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), "<u4")
+    for width, size in sorted({(h[1], h[3]) for h in heads}):
+        rows = [k for k, h in enumerate(heads) if (h[1], h[3]) == (width, size)]
+        packed = -(-width * size // 8)
+        for some in (rows[k : k + 64] for k in range(0, len(rows), 64)):
+            raw = np.stack([np.frombuffer(data, np.uint8, packed, at[k] + _BLOCK.size) for k in some])
+            value = np.zeros((len(some), size), np.uint32)
+            if width:
+                place = np.arange(size, dtype=np.int64) * width  # of a value's first bit
+                raw = np.pad(raw, ((0, 0), (0, 8))).astype(np.uint64)
+                for k in range((width + 14) // 8):  # bytes that a value may lie in
+                    value |= ((raw[:, (place >> 3) + k] << np.uint64(8 * k)) >> (place & 7).astype(np.uint64)).astype(np.uint32)
+                value &= np.uint32((1 << width) - 1)
+            for k, v in zip(some, value, strict=True):
+                low, _, n_out, _ = heads[k]
+                if n_out:
+                    x = at[k] + _BLOCK.size + packed
+                    v[np.frombuffer(data, "<u2", n_out, x)] |= (np.frombuffer(data, "<u4", n_out, x + 2 * n_out).astype(np.uint64) << np.uint64(width)).astype("<u4")
+                out[first[k] : first[k] + size] = v + np.uint32(low)
+    return out
 
 
 def pack_file(partition: int, before: int, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -117,8 +129,8 @@ class TokenFile:
         if a >= b:
             return np.zeros(0, np.uint32)
         i = a // self.block
-        got = [unpack_block(self.data, self.first + int(s)) for s in self.starts[i : -(-b // self.block)]]
-        return np.concatenate(got)[a - i * self.block : b - i * self.block]
+        got = unpack_blocks(self.data, (self.first + self.starts[i : -(-b // self.block)]).tolist())
+        return got[a - i * self.block : b - i * self.block]
 
     def documents(self):
         """(key, ids before it in its partition, ids) of each document."""
@@ -129,80 +141,92 @@ class TokenFile:
 
 
 class LibraryEncoder:
-    """Encodes with a ``tokenizers`` file.  The splitter's pieces of a text are
-    encoded each once, many in one call with an added token between them; a text in which an added token's
-    string occurs goes to the library whole, which treats it as that token."""
+    """Encodes with a ``tokenizers`` file.
 
-    MEMORY = 600_000
+    For a byte-level vocabulary the pieces of all texts are found at once, and the
+    library merges each distinct one once, many in a call; a text in which an added
+    token's string occurs goes to the library whole, which treats it as that token.
+    With any other vocabulary every text does.
+    """
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_buffer(data)
-        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.split = None if self.tok.normalizer else self._splitter()
-        # a token that no piece can hold keeps pieces apart
-        self.mark = next((x for x in self.added.items() if self.split and len(self.split(x[0])) > 1), None)
-        # pieces are split already: the library only has to merge
-        self.whole = self.tok.pre_tokenizer
-        self.merging = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) if self.split else self.whole
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        ids, sizes = [self.ids], []
-        self.tok.pre_tokenizer = self.merging
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.merging = self._merging()
+        self.codes = Codes(self.learn)
+
+    def _merging(self):
+        """A tokenizer that only merges pieces; None if pieces aren't byte-level."""
+        from tokenizers import Tokenizer
+
+        made = json.loads(self.tok.to_str())
+        pre = made["pre_tokenizer"] or {}
+        if made["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        # each byte stands for itself if it prints, the others follow from 256 on; no
+        # UTF-8 has the byte 255, which keeps pieces apart
+        self.letter = np.zeros(256, "<u4")
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter[prints] = prints
+        others = np.setdiff1d(np.arange(256), prints)
+        self.letter[others] = 256 + np.arange(len(others))
+        self.letter[255] = 10
+        self.between = max(made["model"]["vocab"].values()) + 1 + len(made["added_tokens"])
+        made["model"]["vocab"]["\n"] = self.between
+        made |= {"pre_tokenizer": {"type": "Split", "pattern": {"String": "\n"}, "behavior": "MergedWithPrevious", "invert": False}, "post_processor": None, "decoder": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(made))
+
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
         for k in range(0, len(pieces), 4000):
             some = pieces[k : k + 4000]
-            if self.mark:
-                got = np.array(self.tok.encode_batch_fast([self.mark[0].join(some)], add_special_tokens=False)[0].ids, np.uint32)
-                cuts = np.concatenate(([-1], np.flatnonzero(got == self.mark[1]), [len(got)]))
-                sizes.append(np.diff(cuts) - 1)
-                ids.append(got[got != self.mark[1]])
-            else:
-                each = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-                ids.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
-        self.code.update(zip(pieces, range(len(self.code), len(self.code) + len(pieces)), strict=True))
-        self.ids = np.concatenate(ids)
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
-
-    def _splitter(self):
-        import json
-
-        pre = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
-        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-            return None
-        from .bpe_replay import GPT_PATTERN, finder
-
-        return finder(GPT_PATTERN)
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        """Ids of each text, ``end_id`` last."""
-        whole = {i for i, t in enumerate(texts) if t and (self.split is None or any(a in t for a in self.added))}
-        each = [self.split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        words = list(itertools.chain.from_iterable(each))
-        if len(self.code) > self.MEMORY:
-            self.forget()
-        code = np.fromiter(map(self.code.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(code < 0)):
-            new = new.tolist()
-            self.learn(list({words[i] for i in new}))
-            code[new] = [self.code[words[i]] for i in new]
-        n = self.at[code + 1] - self.at[code]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[code] - ends[:-1], n)]
-        cuts = ends[np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))].tolist()
-        end = np.array([end_id], np.uint32)
-        out = [np.concatenate((ids[a:b], end)) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        self.tok.pre_tokenizer = self.whole
-        for i in sorted(whole):
-            out[i] = np.array([*self.tok.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
-        return out
+            text = self.letter[np.frombuffer(b"\xff".join(some), np.uint8)].tobytes().decode("utf-32-le")
+            got = np.array(self.merging.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.concatenate(([-1], np.flatnonzero(got == self.between), [len(got)]))
+            sizes.append(np.diff(cuts) - 1)
+            ids.append(got[got != self.between])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end_id`` last in each, and their number by text."""
+        raw, off = utf8(col)
+        if self.merging is None:
+            whole = np.arange(len(col))
+            raw, off = raw[:0], np.zeros_like(off)
+        else:
+            whole = self._with_added(raw, off)
+        start = split(raw, off)
+        ids, n = self.codes.encoded(self.codes.of([(raw, start)])[0]) if len(start) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        ends = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, off)]
+        size = np.diff(ends) + 1
+        out = np.full(size.sum(), end_id, np.int64)
+        mine = np.ones(len(out), bool)
+        mine[np.cumsum(size) - 1] = False
+        out[mine] = ids
+        if len(whole):
+            texts = np.split(out, np.cumsum(size)[:-1])
+            for i in whole.tolist():
+                texts[i] = np.array([*self.tok.encode(col[i].as_py() or "", add_special_tokens=False).ids, end_id], np.int64)
+                size[i] = len(texts[i])
+            out = np.concatenate(texts)
+        return out, size
+
+    def _with_added(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The texts in which an added token's string occurs."""
+        data, found = raw.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                found.add(i)
+                if at + len(token) > off[i + 1]:  # runs over the text's end
+                    found.discard(i)
+                    at = data.find(token, at + 1)
+                else:
+                    at = data.find(token, int(off[i + 1]))
+        return np.array(sorted(found), np.int64)
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -213,7 +237,6 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
     ascending order of ``key`` (an integer; null comes first, as ``NO_KEY``; equal keys
     stay neighbours)."""
     spark = docs.sparkSession
-    batches(spark, 1000)
     shared = spark.sparkContext.broadcast(tokenizer)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k")
@@ -238,18 +261,22 @@ def write(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, text: str =
 
         for b in it:
             for some in chunks(b, "t", _SLICE):
-                for k, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True):
+                ids, n = enc.encode(some.column(1), end_id)
+                at = 0
+                for k, m in zip(some.column(0).to_pylist(), n.tolist(), strict=True):
                     keys.append(k)
-                    held.append(ids)
-                    lengths.append(len(ids))
-                    size += lengths[-1]
+                    lengths.append(m)
+                    held.append(ids[at : at + m])
+                    at += m
+                    size += m
                     if size >= file_ids:
                         yield file()
                         size = 0
         if keys:
             yield file()
 
-    write_bytes(rows.mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\n", 1)
+    with batches(spark, 1000):
+        write_bytes(rows.mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\n", 1)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -264,7 +291,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     k, p, at, ids = zip(*rows[i : i + 256], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.int32()), pa.array(at, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["key", "part", "at", "ids"])
 
-    batches(spark, 4)  # files
     return read_files(spark, path).select("content").mapInArrow(tidied(run), "key long, part int, at long, ids binary")
 
 
@@ -274,10 +300,16 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(it):
         for b in it:
-            ids = [x.as_py() for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["key", "part", "at", "n_tokens", "ids_crc32"])
-
-    rows = settle(read(spark, path).mapInArrow(tidied(run), "key long, part int, at long, n_tokens long, ids_crc32 long"))
+            for data in b.column(0):
+                f = TokenFile(data.as_py())
+                raw = memoryview(f.ids(0, f.n_ids).astype("<u4").tobytes())
+                ends = np.cumsum(f.lengths)
+                at = ends - f.lengths
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(f.keys), pa.array(np.full(len(at), f.partition, np.int32)), pa.array(f.before + at), pa.array(f.lengths), pa.array(crc, pa.int64())], ["key", "part", "at", "n_tokens", "ids_crc32"])
+
+    files = read_files(spark, path).select("content")
+    rows = settle(files.mapInArrow(tidied(run), "key long, part int, at long, n_tokens long, ids_crc32 long"), rows=4)  # files
     # one row for each partition of the range, as many as Spark keeps tasks of anyway
     totals = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     order = sorted(totals)
