@@ -1,20 +1,22 @@
-"""Byte-level BPE encoding with the ids of a merge replay, and decoding.
-
-The words (matches of the split pattern) of a block of documents are reduced to the
-distinct ones.  Words of at most 48 bytes, nearly all, are not replayed in global rank
-order and have no inverted index: words of one length are rows of a matrix, and every
-turn applies each row's own lowest rank and looks up the two pairs it touched.  Merges
-in different words don't affect each other, so the ids are those of the replay, and a
-turn is a few array operations instead of a Python step for each merge and position.
-Longer words have an inverted index from merges to positions that is replayed in rank
-order (``replay_long``), for there a scan of the row at every turn would be quadratic.
-Words already merged are remembered up to a bound.  A block is what one task reads at
-a time, so nothing is shuffled and memory is bounded by the block.
-
-Equal ranks apply from left to right within a word, and a merge that brings a lower
-rank into a word is followed by that rank before the word's other positions: the
-result is that of merging each word greedily on its own.  A word that is itself a
-token is that token.  Null texts are empty: no tokens.
+"""Byte-level BPE encoding by replaying merges over an inverted index, and decoding.
+
+Texts are reduced to their distinct words (matches of the split pattern) that haven't
+been merged yet.  All of them are one array of symbols with links to the neighbours.
+An inverted index leads from each merge (by its rank) to the positions of the pairs it
+joins, in whatever word they are.  The ranks are replayed once, from the lowest up:
+each applies its merge at all positions at once, and only the two pairs that a merged
+symbol touches are looked up again and entered in the index.
+
+The index covers the words of some ``_BLOCK`` bytes of a task's texts at a time, as
+much as a worker's memory should hold; merges in different words don't affect each
+other, so ids don't depend on it.  Words already merged are remembered up to a bound.
+Nothing is shuffled.
+
+Equal ranks apply from left to right.  A vocabulary may have a merge of lower rank than
+the one that brings its pair about; a word where that happens leaves the replay and is
+merged on its own (``replay_long``), lowest rank first at every step, which is what
+the rule means.  A word that is itself a token is that token.  Null texts are empty:
+no tokens.  Rows with equal or null keys are encoded like any others, each a row.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
-import re
-import unicodedata
 from hashlib import sha256
 
 import numpy as np
@@ -32,17 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, tidied
+from .common import chunks, tidied, utf8
+from .pieces import Codes, Table, split, split_by, spread
 
-#: What splits text before byte-level merges (a fixed value of such vocabularies).
-GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SLICE = 2 << 20
+#: Bytes of text in one array, and bytes whose new words are replayed together.
+_SLICE, _BLOCK = 1 << 20, 8 << 20
 #: Words remembered by a worker before it starts anew.
-MEMORY = 250_000
-#: Words over so many bytes are merged one by one.
-LONG = 48
+MEMORY = 1 << 20
+#: Ranks whose index is sorted at a time.
+_SPAN = 512
 NONE = np.int32(2**31 - 1)
-EMPTY = np.uint64(2**64 - 1)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -140,7 +139,7 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.byte = np.zeros(256, np.int64)
+        self.byte = np.zeros(256, np.int32)
         keys, values = [], []
         for token, rank in ranks.items():
             if len(token) == 1:
@@ -148,164 +147,147 @@ class Merges:
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    keys.append(a << 32 | b)
+                    keys.append((a << 32 | b) + 1)
                     values.append(rank)
-        key, value = np.array(keys, np.uint64), np.array(values, np.int32)
-        bits = max(10, int(len(key)).bit_length() + 2)
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, EMPTY, np.uint64)
-        self.values = np.full(1 << bits, NONE, np.int32)
-        at = self._slot(key)
-        while len(key):  # linear probing; of those that want one slot, one gets it
-            free = self.keys[at] == EMPTY
-            self.keys[at[free]] = key[free]
-            won = self.keys[at] == key
-            self.values[at[won]] = value[won]
-            key, value, at = key[~won], value[~won], (at[~won] + 1) & (len(self.keys) - 1)
-        pair = np.arange(256)
-        self.first = self.rank(self.byte[pair][:, None].repeat(256, 1), self.byte[pair][None].repeat(256, 0))
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.table = Table()
+        self.table.add(np.array(keys, np.uint64), np.array(values, np.int32))
+        self.top = max(ranks.values()) + 1
+        pair = np.arange(256).repeat(256)
+        self.first = self.rank(self.byte[pair], np.tile(self.byte, 256)).reshape(256, 256)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        at = self._slot(key)
-        got = self.keys[at]
-        out = np.where(got == key, self.values[at], NONE)
-        todo = np.nonzero((got != key) & (got != EMPTY))
-        while len(todo[0]):
-            key_, at_ = key[todo], (at[todo] + 1) & (len(self.keys) - 1)
-            got = self.keys[at_]
-            out[todo] = np.where(got == key_, self.values[at_], NONE)
-            at[todo] = at_
-            todo = tuple(x[(got != key_) & (got != EMPTY)] for x in todo)
-        return out
+        key = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1)
+        return self.table.get(key, int(NONE))
 
 
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of each distinct word, one after the other, and their number.
-
-    For words of one length the index is a matrix: a row for each word, in it the
-    rank of the merge at each position.  Every turn applies the lowest rank of each
-    row, at its leftmost position, and looks up the two pairs it touched.  Merges in
-    different words don't affect each other, so each word sees its merges in rank
-    order, as in a replay of one rank after the other.
-    """
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ids = np.zeros((len(words), int(size.max(initial=0))), np.int32)
-    left = np.zeros(len(words), np.int64)
-    order = np.argsort(size, kind="stable")
-    for row in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-        n = int(size[row[0]]) if len(row) else 0
-        if not n:
-            continue
-        byte = np.frombuffer(b"".join([words[i] for i in row.tolist()]), np.uint8).reshape(-1, n)
-        sym = merges.byte[byte].astype(np.int32)
-        rank = merges.first[byte[:, :-1], byte[:, 1:]]
-        for width in range(n, 0, -1):
-            if width > 1:
-                at = rank.argmin(1)
-                best = rank[np.arange(len(row)), at]
-                done = best == NONE
-            else:
-                done = np.ones(len(row), bool)
-            if done.any():
-                ids[row[done], :width] = sym[done]
-                left[row[done]] = width
-                go = ~done
-                row, sym, rank = row[go], sym[go], rank[go]
-                if not len(row):
-                    break
-                at, best = at[go], best[go]
-            # the merged symbol stays at its place, what stands to the right moves up
-            each = np.arange(len(row))
-            moved = np.arange(width - 1) > at[:, None]
-            sym = np.where(moved, sym[:, 1:], sym[:, :-1])
-            sym[each, at] = best
-            rank = np.where(moved[:, :-1], rank[:, 1:], rank[:, :-1])
-            some = at < width - 2
-            i, j = each[some], at[some]
-            rank[i, j] = merges.rank(sym[i, j], sym[i, j + 1])
-            some = at > 0
-            i, j = each[some], at[some]
-            rank[i, j - 1] = merges.rank(sym[i, j - 1], sym[i, j])
-    return ids[np.arange(ids.shape[1]) < left[:, None]], left
-
-
-#: Up to here the faster ``re`` splits text, its classes spelled out.
-LATIN = "\u0250"
-
-
-def _latin(pattern: str) -> str:
-    """The same pattern for texts below ``LATIN``, with its classes spelled out."""
-    below = [chr(i) for i in range(ord(LATIN))]
-    members = {
-        r"\p{L}": "".join(c for c in below if unicodedata.category(c)[0] == "L"),
-        r"\p{N}": "".join(c for c in below if unicodedata.category(c)[0] == "N"),
-        r"\s": " \t\n\v\f\r\x85\xa0",  # of Unicode; ``re`` has more
-    }
-    out = pattern
-    for name, chars in members.items():
-        out = re.sub(r"\[\^[^\]]*\]", lambda m, name=name, chars=chars: m[0].replace(name, chars), out)  # in a class
-        out = out.replace(name, f"[{chars}]")
-    return out.replace(r"\S", f"[^{members[r'\s']}]")
-
-
-def finder(pattern: str):
-    """A function that lists the matches of a pattern of this kind in a text."""
-    import regex
-
-    latin, other = re.compile(_latin(pattern)).findall, regex.compile(pattern).findall
-    return lambda text: latin(text) if text.isascii() or max(text) < LATIN else other(text)
+    """Token ids of each word, one after the other, and their number."""
+    n = len(words)
+    size = np.fromiter(map(len, words), np.int64, n)
+    head = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    sym = merges.byte[raw]
+    m = len(raw)
+    # neighbours; place m is beyond every word
+    after, before = np.arange(1, m + 1), np.arange(-1, m)
+    tail = head + size - 1
+    after[tail[size > 0]] = m
+    before[:m][head[size > 0]] = m
+    rank = np.full(m + 1, NONE, np.int32)  # of the pair that begins at a place
+    rank[: max(0, m - 1)] = merges.first[raw[:-1], raw[1:]]
+    rank[tail[size > 0]] = NONE
+    whole = {i: merges.ranks[w] for i, w in enumerate(words) if len(w) > 1 and w in merges.ranks}
+    if whole:  # tokens as they are
+        some = np.fromiter(whole, np.int64, len(whole))
+        rank[spread(head[some], size[some])] = NONE
+    sym = np.append(sym, 0)
+    dead = np.zeros(m + 1, bool)
+    odd: list[np.ndarray] = []  # places of words that meet a lower rank than the current one
+    place = np.flatnonzero(rank != NONE)
+    waiting = [(rank[place], place)]
+    for low in range(0, merges.top, _SPAN):
+        # the index of the next ranks: their positions in order, and where each begins
+        r, p = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        now = r < low + _SPAN
+        waiting = [(r[~now], p[~now])]
+        order = np.lexsort((p[now], r[now]))
+        r, p = r[now][order], p[now][order]
+        start = np.searchsorted(r, np.arange(low, low + _SPAN + 1)).tolist()
+        late: dict[int, list[int]] = {}  # entries that came while their span was at work
+        for k in range(_SPAN):
+            own = p[start[k] : start[k + 1]]
+            if more := late.pop(low + k, None):
+                own = np.unique(np.concatenate((own, more)))
+            elif not len(own):
+                continue
+            _apply(own, low + k, low, merges, sym, rank, before, after, dead, waiting, late, odd)
+    live = ~dead[:m]
+    left = np.bincount(np.repeat(np.arange(n), size)[live], minlength=n)
+    for i, token in whole.items():
+        live[head[i] + 1 : head[i] + size[i]] = False
+        sym[head[i]] = token
+        left[i] = 1
+    ids = sym[:m][live]
+    if odd:
+        again = np.unique(np.searchsorted(head + size, np.concatenate(odd), "right")).tolist()
+        each = np.split(ids, np.cumsum(left)[:-1])
+        for i, x in zip(again, replay_long([words[i] for i in again], merges.ranks), strict=True):
+            each[i] = np.array(x, np.int32)
+            left[i] = len(x)
+        ids = np.concatenate(each)
+    return ids, left
+
+
+def _apply(own, r, low, merges, sym, rank, before, after, dead, waiting, late, odd) -> None:
+    """Merge ``r`` at its places, and the new pairs into the index."""
+    own = own[rank[own] == r]
+    if not len(own):
+        return
+    if len(own) > 1:
+        own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+        chained = after[own[:-1]] == own[1:]
+        if chained.any():  # pairs that overlap: of a chain every second one, from the left
+            first = np.concatenate(([True], ~chained))
+            nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+            own = own[nth % 2 == 0]
+    gone = after[own]
+    beyond = after[gone]
+    sym[own] = r
+    after[own] = beyond
+    before[beyond] = own
+    dead[gone] = True
+    rank[gone] = NONE
+    m = len(dead) - 1
+    ahead = before[own]
+    touched = np.concatenate((own, ahead))
+    touched = touched[touched < m]
+    to = after[touched]
+    new = merges.rank(sym[touched], sym[to])
+    new[to == m] = NONE
+    rank[touched] = new
+    some = new != NONE
+    if not some.any():
+        return
+    touched, new = touched[some], new[some]
+    if (early := new <= r).any():
+        odd.append(touched[early])
+        touched, new = touched[~early], new[~early]
+    if (soon := new < low + _SPAN).any():
+        for x, y in zip(new[soon].tolist(), touched[soon].tolist(), strict=True):
+            late.setdefault(x, []).append(y)
+        touched, new = touched[~soon], new[~soon]
+    waiting.append((new, touched))
 
 
 class Encoder:
     """Encodes blocks of texts; one for each worker process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, finder(pattern)
-        self.merges = Merges(ranks)
-        n = max(ranks.values()) + 1
-        vocab = [b""] * n
+        import regex
+        from public_tokenizers import PATTERN
+
+        self.find = None if pattern == PATTERN else regex.compile(pattern).findall
+        merges = Merges(ranks)
+        vocab = [b""] * merges.top
         for token, i in ranks.items():
             vocab[i] = token
         self.bytes = Pieces(vocab)
-        self.decimal = Pieces([b"%d," % i for i in range(n)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.at = np.zeros(1, np.int64)  # where the ids of each word begin
-
-    def learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        whole = [len(w) > LONG or w in self.ranks for w in raw]
-        order = [i for i, x in enumerate(whole) if not x]
-        ids, n = replay([raw[i] for i in order], self.merges)
-        long = [i for i, x in enumerate(whole) if x]
-        more = replay_long([raw[i] for i in long], self.ranks)
-        self.code.update(zip(map(words.__getitem__, order + long), range(len(self.code), len(self.code) + len(words)), strict=True))
-        n = np.concatenate((n, np.fromiter(map(len, more), np.int64, len(more))))
-        self.ids = np.concatenate((self.ids, ids, np.fromiter(itertools.chain.from_iterable(more), np.int32)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(n)))
-
-    def block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's begin (and the last one's end)."""
-        each = [self.find(t) if t else [] for t in texts]
-        words = list(itertools.chain.from_iterable(each))
-        if len(self.code) > MEMORY:
-            self.forget()
-        code = np.fromiter(map(self.code.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(code < 0)):
-            new = new.tolist()
-            self.learn(list({words[i] for i in new}))
-            code[new] = [self.code[words[i]] for i in new]
-        n = self.at[code + 1] - self.at[code]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[code] - ends[:-1], n)]
-        return ids, ends[np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))))]
+        self.decimal = Pieces([b"%d," % i for i in range(len(vocab))])
+        self.codes = Codes(lambda words: replay(words, merges), MEMORY)
+
+    def block(self, cols: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each array of texts the ids, and where each text's begin (and the last
+        one's end)."""
+        parts, offs = [], []
+        for col in cols:
+            raw, off = utf8(col)
+            parts.append((raw, split(raw, off) if self.find is None else split_by(self.find, col.to_pylist(), off)))
+            offs.append(off)
+        out = []
+        for (_, start), code, off in zip(parts, self.codes.of(parts), offs, strict=True):
+            ids, n = self.codes.encoded(code)
+            out.append((ids, np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, off)]))
+        return out
 
 
 class Pieces:
@@ -319,8 +301,7 @@ class Pieces:
     def join(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all ids, and where in them those of each text begin."""
         n = self.size[ids]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        return self.data[np.arange(ends[-1]) + np.repeat(self.at[ids] - ends[:-1], n)], ends[starts]
+        return self.data[spread(self.at[ids], n)], np.concatenate(([0], np.cumsum(n)))[starts]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -340,24 +321,32 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", key:
     ``ranks`` is the content of a rank file; it is broadcast, and its size is that
     of the vocabulary.
     """
-    spark = docs.sparkSession
-    batches(spark, 500)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def coded(parts, enc):
+        for part, (got, at) in zip(parts, enc.block([x.column(1) for x in parts]), strict=True):
+            cols = {"k": part.column(0), "n_tokens": pa.array(np.diff(at))}
+            if ids:
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got))
+            if digests:
+                data, d = enc.decimal.join(got, at)
+                cols["ids_sha256"] = pa.array([sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in itertools.pairwise(d.tolist())], pa.string())
+                data, d = enc.bytes.join(got, at)
+                cols["decoded_sha256"] = pa.array([sha256(data[a:b]).hexdigest() for a, b in itertools.pairwise(d.tolist())], pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
 
     def run(it):
         enc = encoder(shared.value, pattern)
+        held, size = [], 0
         for b in it:
             for part in chunks(b, "t", _SLICE):
-                got, at = enc.block(part.column(1).to_pylist())
-                cols = {"k": part.column(0), "n_tokens": pa.array(np.diff(at))}
-                if ids:
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got))
-                if digests:
-                    data, d = enc.decimal.join(got, at)
-                    cols["ids_sha256"] = pa.array([sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in itertools.pairwise(d.tolist())], pa.string())
-                    data, d = enc.bytes.join(got, at)
-                    cols["decoded_sha256"] = pa.array([sha256(data[a:b]).hexdigest() for a, b in itertools.pairwise(d.tolist())], pa.string())
-                yield pa.RecordBatch.from_pydict(cols)
+                held.append(part)
+                size += part.column(1).nbytes
+                if size >= _BLOCK:
+                    yield from coded(held, enc)
+                    held, size = [], 0
+        if held:
+            yield from coded(held, enc)
 
     kind = docs.schema[key].dataType.simpleString()
     more = ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests

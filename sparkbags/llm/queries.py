@@ -3,20 +3,17 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_replay, decontaminate, html_text, langid, near_vectors, quality, simhash, suffix_dedup, token_file, warc
 from .common import crc32_of, settle, table
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("SPARKBAGS_TOKENIZERS", "/opt/tokenizers")
-
 
-def tokenizer_file(name: str, folder: str = TOKENIZERS) -> bytes:
-    with open(os.path.join(folder, name), "rb") as f:
+def tokenizer_file(name: str, path: str | None = None) -> bytes:
+    """A public tokenizer file, or the one at ``path``."""
+    with open(path or public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
@@ -51,7 +48,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe_replay.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), bpe_replay.GPT_PATTERN)
+    return bpe_replay.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
