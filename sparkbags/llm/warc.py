@@ -8,14 +8,20 @@ origin and number; the last one carries the total length.  A page whose payload
 another page has as well, and isn't the one with the largest id, becomes a
 ``revisit`` record without payload.  Each record is a gzip member of its own.
 
+A record's identifier is its own (the number of the task that writes it, and its number
+there), whatever the page's id, which is a header field beside it: records of rows with
+equal or null ids never mix.
+
 Reading parses all records.  Whole records are decoded where they are; segments are
 grouped by origin identifier, ordered by number and checked against the total
-length.  A record of which a segment is missing has a null payload and
-``complete`` false.  Groups are as large as one record at most.
+length.  A decoded payload is held against the digest and the length in the header.  A
+record of which a segment is missing, or whose framing, length or digest is wrong, has a
+null payload and ``complete`` false, or with ``strict`` (as in ``round_trip``) ends the
+run.  Groups are as large as one record at most.
 
 Null payloads count as empty.  Rows that repeat id and payload are each written as
-they are (each a response); an id's records are kept apart by nothing else.  A null id
-comes back as null; among equal payloads it is never the response.
+they are (each a response).  A null id comes back as null; among equal payloads it is
+never the response, if another has an id; with null ids only, each is a response.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, tidied, work_dir
+from .common import batches, settle, tidied, work_dir
 from .files import read_files, write_bytes
 
 SEGMENT = 32 << 10
@@ -37,8 +43,8 @@ FILE_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 _READ = 16 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-_ID = "urn:sparkbags:page:"
-PARSED = "record_id string, record_type string, url string, refers_to string, digest string, payload_length long, segment int, origin string, total_length long, block binary"
+_ID = "urn:sparkbags:record:"
+PARSED = "record_id string, record_type string, page_id string, url string, refers_to string, digest string, payload_length long, segment int, origin string, total_length long, block binary"
 
 
 def digest(payload: bytes) -> str:
@@ -81,12 +87,14 @@ def _record(kind: str, name: str, block: bytes, fields: list[tuple[str, str]]) -
     return z.compress(raw) + z.flush()
 
 
-def records(page_id, url: str | None, payload: bytes, sha: str, refers_to, segment: int = SEGMENT) -> list[bytes]:
-    """The gzip members of one page."""
-    name = f"{_ID}{page_id}"
+def records(name: str, page_id, url: str | None, payload: bytes, sha: str, refers_to, segment: int = SEGMENT) -> list[bytes]:
+    """The gzip members of one page; ``name`` makes the record's identifier."""
+    name = f"{_ID}{name}"
     fields = [("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Payload-Length", str(len(payload)))]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        return [_record("revisit", name, b"HTTP/1.1 200 OK\r\n\r\n", [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_ID}{refers_to}>")])]
+        return [_record("revisit", name, b"HTTP/1.1 200 OK\r\n\r\n", [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))])]
     block = _HTTP + to_chunks(payload)
     if len(block) <= segment:
         return [_record("response", name, block, fields)]
@@ -127,7 +135,6 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """Write archives.  Of equal payloads of at least ``least`` bytes the one with the
     largest key is the response."""
     spark = pages.sparkSession
-    batches(spark, 500)
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("p"))
     rows = rows.withColumn("d", F.sha1("p"))
@@ -136,10 +143,14 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     refers = F.when((F.length("p") >= least) & ~F.col("m").eqNullSafe(F.col("k")), F.col("m"))
 
     def run(it):
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
         held, size = [], 0
         for b in it:
             for k, u, p, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = records(k, u, p, digest(p), m, segment)
+                got = records(f"{part}-{n}", k, u, p, digest(p), m, segment)
+                n += 1
                 held += got
                 size += sum(map(len, got))
                 if size >= FILE_BYTES:
@@ -149,13 +160,14 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["data"])
 
     # the byte after an archive is zero, which gzip readers take for padding
-    write_bytes(rows.select("k", "u", "p", refers.cast(kind).alias("m")).mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\0", 1)
+    with batches(spark, 500):
+        write_bytes(rows.select("k", "u", "p", refers.cast(kind).alias("m")).mapInArrow(tidied(run), "data binary"), F.col("data"), path, "\0", 1)
 
 
 _NAMES = [x.split()[0] for x in PARSED.split(", ")]
 _KINDS = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in PARSED.split(", ")]
-_HEAD = ["record_id", "record_type", "url", "refers_to", "digest", "payload_length"]
-DECODED = "record_id string, record_type string, url string, refers_to string, payload binary, digest string, payload_bytes long, complete boolean"
+_HEAD = ["record_id", "record_type", "page_id", "url", "refers_to", "digest", "payload_length"]
+DECODED = "record_id string, record_type string, page_id string, url string, refers_to string, payload binary, digest string, payload_bytes long, complete boolean"
 
 
 def _parse(it):
@@ -168,7 +180,7 @@ def _parse(it):
         for data in b.column(0):
             rows = []
             for h, block in parse(data.as_py()):
-                rows.append((bare(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), bare(h.get("warc-segment-origin-id")), int(h.get("warc-segment-total-length", -1)), block))
+                rows.append((bare(h.get("warc-record-id")), h.get("warc-type"), h.get("x-page-id"), h.get("warc-target-uri"), h.get("x-refers-to-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", -1)), int(h.get("warc-segment-number", 0)), bare(h.get("warc-segment-origin-id")), int(h.get("warc-segment-total-length", -1)), block))
                 if len(rows) >= 128:
                     yield rows
                     rows = []
@@ -176,7 +188,7 @@ def _parse(it):
                 yield rows
 
 
-def _decode(rows: list[dict]) -> pa.RecordBatch:
+def _decode(rows: list[dict], strict: bool = False) -> pa.RecordBatch:
     out = []
     for r in rows:
         got, ok = None, True
@@ -187,11 +199,17 @@ def _decode(rows: list[dict]) -> pa.RecordBatch:
                 block = b"".join(x["block"] for x in parts)
                 ok = numbers in ([0], list(range(1, len(parts) + 1))) and (numbers == [0] or parts[-1]["total_length"] == len(block))
                 got = payload_of(block) if ok else None
+                sha = digest(got) if ok else r["digest"]
+                # archives of others may lack the digest, or the length
+                if ok and ((r["digest"] and r["digest"] != sha) or r["payload_length"] not in (None, -1, len(got))):
+                    got, ok = None, False
             except ValueError:
                 got, ok = None, False
-        out.append((r["record_id"], r["record_type"], r["url"], r["refers_to"], got, digest(got) if got is not None else r["digest"], len(got) if got is not None else r["payload_length"], ok))
-    cols = list(zip(*out, strict=True)) if out else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 4 + [pa.binary(), pa.string(), pa.int64(), pa.bool_()], strict=True)], [x.split()[0] for x in DECODED.split(", ")])
+            if strict and not ok:
+                raise ValueError(f"record {r['record_id']} is incomplete or damaged")
+        out.append((r["record_id"], r["record_type"], r["page_id"], r["url"], r["refers_to"], got, sha if got is not None else r["digest"], len(got) if got is not None else r["payload_length"], ok))
+    cols = list(zip(*out, strict=True)) if out else [[]] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64(), pa.bool_()], strict=True)], [x.split()[0] for x in DECODED.split(", ")])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -205,11 +223,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for rows in _parse(it):
             yield _batch(rows)
 
-    batches(spark, 2)  # files
     return read_files(spark, path).select("content").mapInArrow(tidied(run), PARSED)
 
 
-def _reassembled(pieces: DataFrame) -> DataFrame:
+def _reassembled(pieces: DataFrame, strict: bool) -> DataFrame:
     """Segments grouped by origin, ordered, checked and decoded."""
     part = F.struct("segment", "total_length", "block").alias("part")
     pieces = pieces.select(F.coalesce("origin", "record_id").alias("of"), F.when(F.col("segment") == 1, F.struct(*_HEAD)).alias("head"), part)
@@ -218,39 +235,40 @@ def _reassembled(pieces: DataFrame) -> DataFrame:
 
     def run(it):
         for b in it:
-            yield _decode(b.to_pylist())
+            for k in range(0, len(b), 16):
+                yield _decode(b.slice(k, 16).to_pylist(), strict)
 
     return pieces.mapInArrow(tidied(run), DECODED)
 
 
-def reassemble(parsed: DataFrame) -> DataFrame:
-    """(record_id, record_type, url, refers_to, payload, digest, payload_bytes,
+def reassemble(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """(record_id, record_type, page_id, url, refers_to, payload, digest, payload_bytes,
     complete): a row for each record but continuations.  A revisit's payload is null;
     its digest and length are those its header states."""
 
     def run(it):
         for b in it:
-            yield _decode([r | {"parts": [r]} for r in b.to_pylist()])
+            for k in range(0, len(b), 128):
+                yield _decode([r | {"parts": [r]} for r in b.slice(k, 128).to_pylist()], strict)
 
-    return parsed.where("segment = 0").mapInArrow(tidied(run), DECODED).unionByName(_reassembled(parsed.where("segment > 0")))
+    return parsed.where("segment = 0").mapInArrow(tidied(run), DECODED).unionByName(_reassembled(parsed.where("segment > 0"), strict))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """``reassemble(read_records(...))``, whole records in one Python step."""
 
     def whole(it):
         for rows in _parse(it):
-            rows = [dict(zip(_NAMES, r, strict=True)) for r in rows if r[6] == 0]
-            yield _decode([r | {"parts": [r]} for r in rows])
+            rows = [dict(zip(_NAMES, r, strict=True)) for r in rows if r[7] == 0]
+            yield _decode([r | {"parts": [r]} for r in rows], strict)
 
     def cut(it):
         for rows in _parse(it):
-            if rows := [r for r in rows if r[6] > 0]:
+            if rows := [r for r in rows if r[7] > 0]:
                 yield _batch(rows)
 
-    batches(spark, 2)  # files
     files = read_files(spark, path).select("content")
-    return files.mapInArrow(tidied(whole), DECODED).unionByName(_reassembled(files.mapInArrow(tidied(cut), PARSED)))
+    return files.mapInArrow(tidied(whole), DECODED).unionByName(_reassembled(files.mapInArrow(tidied(cut), PARSED), strict))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -260,6 +278,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     path = work_dir(spark)
     write(pages, path, key, url, payload, least)
     kind = pages.schema[key].dataType.simpleString()
-    got = read_pages(spark, path)
-    own = F.substring("record_id", len(_ID) + 1, 64).try_cast(kind)
-    return got.select(own.alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.substring("refers_to", len(_ID) + 1, 64).try_cast(kind).alias("refers_to"))
+    got = read_pages(spark, path, strict=True)
+    got = got.select(F.col("page_id").try_cast(kind).alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").try_cast(kind).alias("refers_to"))
+    return settle(got, rows=2)  # files
