@@ -8,7 +8,8 @@ as well, in the same document or another.  Strings never cross documents.
    place, so a window can only repeat where its anchor does.  Runs of windows with
    one anchor make a context: the bytes these windows cover.
 2. Contexts whose anchor occurs once are done.  Equal contexts are one text with a
-   weight; of weight two or more, all its windows are repeated.
+   weight (those that a task reads together are combined before they are sent); of
+   weight two or more, all its windows are repeated.
 3. The other contexts of repeated anchors, with the texts of their anchor's heavier
    contexts, are dealt out by anchor.  Some shards of them are suffix-sorted and
    turned into Burrows-Wheeler transforms.  The transforms of all shards are merged:
@@ -22,11 +23,12 @@ as well, in the same document or another.  Strings never cross documents.
    group; the windows of these are counted by a 128-bit hash instead, in a shuffle
    that combines before it sends.
 
-Each window start belongs to one context, so nothing is counted twice.  Anchors
-carry 64 and contexts 128 bits of hash; windows are compared as they are.
+Each window start belongs to one context, so nothing is counted twice.  Anchors carry
+64 bits of hash, contexts 128 bits more; other windows are compared as they are.
 
-Null texts are empty.  Documents shorter than ``LENGTH`` lose nothing.  The key must
-be unique and not null.
+Null texts are empty.  Documents shorter than ``LENGTH`` lose nothing.  Rows are told
+apart by a 128-bit identity of key and text, whatever the key holds: rows with equal or
+null keys have each their own result, rows that agree in both lose the same bytes.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, tidied, utf8
+from .common import chunks, identity, settle, tidied, utf8
 
 LENGTH = 200
 GRAM = 48
@@ -47,7 +49,7 @@ MOST_CONTEXTS = 16_384
 #: Bytes of contexts merged at a time, and in one shard.
 MERGE_BYTES, SHARD_BYTES = 1_000_000, 250_000
 _SLICE = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
+_ODD, _ODD_TOO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 _powers: dict[int, np.ndarray] = {}
@@ -89,11 +91,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Of all texts: first window, number of windows, anchor hash, context hash."""
+    """Of all texts: first window, number of windows, anchor hash, two context hashes."""
     none = np.zeros(0, np.int64)
     big = np.flatnonzero(np.diff(off) >= length)
     if not len(big):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 3
     h = Hashes(raw)
     n = len(raw)
     g = _mix((h.sum[gram:] - h.sum[:-gram]) * h.back[: n - gram + 1])
@@ -108,7 +110,22 @@ def contexts(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     first = s[np.concatenate(([0], cut))]
     count = np.diff(np.concatenate(([0], cut, [len(s)])))
     # two texts that follow each other may share an anchor number by chance of place
-    return first, count, g[at[np.concatenate(([0], cut))]], h.of(first, first + count - 1 + length)
+    end = first + count - 1 + length
+    return first, count, g[at[np.concatenate(([0], cut))]], h.of(first, end), Hashes(raw, _ODD_TOO).of(first, end)
+
+
+def _local(a: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal contexts combined before anything is sent: the first of each has their
+    number, the others 0; all of those with others are known to be repeated."""
+    order = np.lexsort((d, c, a))
+    new = np.ones(len(a), bool)
+    new[1:] = np.diff(np.stack((a, c, d))[:, order]).any(0)
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(a)))
+    n, known = np.zeros(len(a), np.int32), np.empty(len(a), bool)
+    n[order[at]] = size
+    known[order] = np.repeat(size > 1, size)
+    return n, known
 
 
 def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,26 +284,26 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(k, a, b): byte ranges of repeated strings, overlapping, a few for each place."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = "struct<hi:bigint,lo:bigint>"
+    rows = docs.select(identity(F.col(key), F.col(text)).alias("k"), F.col(text).alias("t"))
     gram = min(gram, length)
 
     def find(it):
         for b in it:
             for part in chunks(b, "t", _SLICE):
                 raw, off = utf8(part.column(1))
-                first, count, a, c = contexts(raw, off, length, gram)
+                first, count, a, c, d = contexts(raw, off, length, gram)
                 of = np.searchsorted(off, first, "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array((first - off[of]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["k", "lo", "w", "a", "c"])
+                n, known = _local(a, c, d)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array((first - off[of]).astype(np.int32)), pa.array(count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (a, c, d)), pa.array(n), pa.array(known)], ["k", "lo", "w", "a", "c", "d", "n", "known"])
 
-    batches(spark, 500)
-    all_ = rows.mapInArrow(tidied(find), f"k {kind}, lo int, w int, a long, c long")
+    all_ = settle(rows.mapInArrow(tidied(find), f"k {kind}, lo int, w int, a long, c long, d long, n int, known boolean"))
     # tables, not plans: a join then deals out both sides anew, and Spark can divide an
     # anchor that a large part of the rows has
-    often = settle(all_.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    some = settle(all_.join(often, "a", "left_semi"))
+    often = settle(all_.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"))
+    some = settle(all_.where("n > 0").join(often, "a", "left_semi"))
     # one row for each different context of a repeated anchor
-    each = settle(some.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "lo", "w")).alias("r")))
+    each = settle(some.groupBy("a", "c", "d").agg(F.sum("n").alias("n"), F.min(F.struct("k", "lo", "w")).alias("r")))
     per = each.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ones"))
     open_ = each.join(settle(per.where("m > 1 and ones > 0")), "a").select("a", "n", F.col("r.k").alias("k"), F.col("r.lo").alias("lo"), F.col("r.w").alias("w"), (F.col("m") > most_contexts).alias("large"))
     wanted = open_.groupBy("k").agg(F.collect_list(F.struct("a", "n", "lo", "w", "large")).alias("wanted"))  # bounded by the document
@@ -300,9 +317,8 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     some = wanted[i : i + 2000]
                     yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in some], pa.int64()), pa.array([x["n"] for x in some], pa.int64()), pa.array([k] * len(some), b.schema.field(0).type), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["large"] for x in some], pa.bool_()), pa.array([raw[x["lo"] : x["lo"] + x["w"] - 1 + length] for x in some], pa.binary())], ["a", "n", "k", "lo", "large", "s"])
 
-    batches(spark, 200)
     pieces = _packed(rows).join(wanted, "k").select("k", "z", "wanted").mapInArrow(tidied(cut), f"a long, n long, k {kind}, lo int, large boolean, s binary")
-    pieces = settle(pieces)
+    pieces = settle(pieces, rows=200)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def merge(it):
@@ -326,7 +342,6 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
         if held:
             yield done(len(held))
 
-    batches(spark, 2000)
     merged = pieces.where("not large").drop("large").repartition(n, "a").sortWithinPartitions("a").mapInArrow(tidied(merge), f"k {kind}, a int, b int")
 
     def count(it):
@@ -337,13 +352,14 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 of = np.repeat(np.arange(len(part)), windows)
                 at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
                 s = off[of] + at
-                h = [Hashes(raw, odd).of(s, s + length) for odd in (_ODD, 0xC2B2AE3D27D4EB4F)]
+                h = [Hashes(raw, odd).of(s, s + length) for odd in (_ODD, _ODD_TOO)]
                 yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(of)), pa.array((part.column(3).to_numpy()[of] + at).astype(np.int32)), part.column(1).take(pa.array(of)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))], ["k", "at", "n", "h", "i"])
 
     hashed = pieces.where("large").select("a", "n", "k", "lo", "s").mapInArrow(tidied(count), f"k {kind}, at int, n long, h long, i long")
     twice = hashed.groupBy("h", "i").agg(F.sum("n").alias("m")).where("m > 1").select("h", "i")
     counted = hashed.where("n = 1").join(twice, ["h", "i"], "left_semi").select("k", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    heavy = some.join(each.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("w") - 1 + length).alias("b"))
+    heavy = all_.where("known").select("k", "lo", "w").unionByName(some.where("not known").join(each.where("n > 1").select("a", "c", "d"), ["a", "c", "d"], "left_semi").select("k", "lo", "w"))
+    heavy = heavy.select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("w") - 1 + length).alias("b"))
     return heavy.unionByName(merged).unionByName(counted)
 
 
@@ -354,10 +370,9 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def pack(it):
         zip_ = zstandard.ZstdCompressor(level=3)
-        for b in it:
+        for b in (part for b in it for part in chunks(b, "t", _SLICE)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zip_.compress(("" if t is None else t).encode()) for t in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], ["k", "z", *more])
 
-    batches(rows.sparkSession, 500)
     return rows.mapInArrow(tidied(pack), ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", "z binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])]))
 
 
@@ -369,13 +384,13 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     """
     found = spans(docs, text, key, length, gram, most_contexts).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("r"))  # bounded by the document
     others = [f"`{c}`" for c in docs.columns if c != text]
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.struct(*others).alias("row")] if whole else []))
+    rows = docs.select(identity(F.col(key), F.col(text)).alias("k"), F.col(text).alias("t"), F.col(key).alias("key"), *([F.struct(*others).alias("row")] if whole else []))
 
     def cut(it):
         unzip = zstandard.ZstdDecompressor()
-        for b in it:
+        for b in (b.slice(k, 64) for b in it for k in range(0, len(b), 64)):
             out = []
-            for z, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for z, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = unzip.decompress(z)
                 at, removed, parts, n = 0, 0, [], 0
                 for x, y in sorted((s["a"], s["b"]) for s in r or []):
@@ -392,14 +407,13 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 left = b"".join(parts)
                 out.append((len(raw), removed, n, sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if whole else [])))
             cols = list(zip(*out, strict=True)) if out else [[]] * (4 + whole)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False)), *b.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False)), *b.columns[3:]], names)
 
-    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "row"] if whole else [])]
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "row"] if whole else [])]
     kind = docs.schema[key].dataType.simpleString()
-    batches(docs.sparkSession, 500)
     more = f", kept string, row {rows.schema['row'].dataType.simpleString()}" if whole else ""
-    joined = _packed(rows).join(found, "k", "left").select("k", "z", "r", *(["row"] if whole else []))
-    return joined.mapInArrow(tidied(cut), f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("k", key)
+    joined = _packed(rows).join(found, "k", "left").select("z", "r", "key", *(["row"] if whole else []))
+    return joined.mapInArrow(tidied(cut), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("key", key)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str | None = None, **settings) -> DataFrame:
