@@ -1,35 +1,47 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 A fingerprint's bit is set if it is set in more than half of the XXH64 values of the
-text's word shingles.  Two fingerprints within three bits have a half (32 bits)
-within one bit, which is half the radius: every distinct fingerprint emits all
-variants of each half within one bit (33 + 33 rows) and, as the other side, the two
-halves themselves.  Variants and halves meet in a shuffle; pairs that collide are
-verified by counting differing bits as part of the join.  No pair within the radius
-is missed, and emitting 66 rows replaces the 2081 variants of a ball of radius two.
-
-Equal fingerprints are one node, so copies never form pairs.  A fingerprint's
-documents hang on the smallest id among them.
+text's word shingles.  Every distinct fingerprint emits its variants within half the
+radius; two fingerprints that emit the same variant meet in a shuffle, and the pair is
+verified by counting its differing bits.  Variants travel in packed buckets.
+
+Half of radius three is one bit for one of a pair and two for the other.  Parity tells
+them apart: fingerprints three bits apart differ in the parity of their bits, so only
+those of odd parity emit variants two bits away.  Of three differing bits two are in
+the same half of the fingerprint, so these two-bit variants stay within a half: 1057
+variants for a fingerprint of odd parity and 65 for one of even parity find every pair,
+where whole balls on both sides would take 2081 and 65.
+
+Pairs meet at several variants.  Each is taken at one place only (``_middle``), so no
+pair is made twice.  A variant has 2081 fingerprints within two bits at most, whatever
+the number of documents.  Equal fingerprints are one node, so copies never form pairs;
+a fingerprint's documents hang on the smallest id among them.
 
 Null and empty texts, and texts of white space only, have fingerprint zero and link
-like any other.  Rows with equal ids are kept apart only by their columns.
+like any other.  Rows with equal ids are kept apart only by their columns; rows without
+an id have the smallest id of their class, null if no row of it has one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, tidied
+from .common import chunks, settle, tidied
 from .graph import components
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
 _MOST = 1 << 18
+_SLICE = 1 << 20
+#: Variants that meet in one place at a time.
+_BUCKET = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -54,10 +66,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(key, fp): the 64 bits as a signed long."""
-    batches(docs.sparkSession, 500)
 
     def run(it):
-        for b in it:
+        for b in (part for b in it for part in chunks(b, "t", _SLICE)):
             fp = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["k", "fp"])
 
@@ -65,19 +76,99 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidied(run), f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
+def _flips(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """What variants differ in, for fingerprints of even and of odd parity."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    few = np.concatenate((np.zeros(1, np.uint64), one[: 64 * (radius > 0)]))
+    i, j = np.triu_indices(32, 1)
+    two = one[i] | one[j] if radius == 3 else one[:0]
+    return few, np.concatenate((few, two, two << np.uint64(32)))
+
+
+def variants(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, variants): the variants at which pairs may meet, of all ``fp``."""
+    odd = np.bitwise_count(fp) % 2 == 1
+    out = [(np.repeat(x, len(m)), (x[:, None] ^ m).ravel()) for x, m in zip((fp[~odd], fp[odd]), _flips(radius), strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _lowest(x: np.ndarray) -> np.ndarray:
+    return x & (~x + np.uint64(1))
+
+
+def _middle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The one variant at which a pair of fingerprints one to three bits apart is taken:
+    the even one itself, the variant that differs from the smaller one in the lowest
+    differing bit, or what the odd one becomes by the two lowest bits that differ in the
+    same half (the lower half, if it has two)."""
+    d = x ^ y
+    n = np.bitwise_count(d)
+    low = d & np.uint64(0xFFFFFFFF)
+    half = np.where(np.bitwise_count(low) >= 2, low, d ^ low)
+    first = _lowest(half)
+    two = first | _lowest(half ^ first)
+    odd = np.bitwise_count(x) % 2 == 1
+    return np.where(n == 1, np.where(odd, y, x), np.where(n == 2, np.minimum(x, y) ^ _lowest(d), np.where(odd, x, y) ^ two))
+
+
+def _meet(fp: np.ndarray, v: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet at their variants, each at one of them, verified."""
+    order = np.argsort(v)
+    fp, v = fp[order], v[order]
+    at, out = np.flatnonzero(v[1:] == v[:-1]), []
+    step = 1
+    while len(at):
+        x, y = fp[at], fp[at + step]
+        near = (np.bitwise_count(x ^ y) <= radius) & (_middle(x, y) == v[at])
+        out.append((x[near], y[near]))
+        step += 1  # the variant's next one
+        at = at[at + step < len(v)]
+        at = at[v[at] == v[at + step]]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (fp[:0], fp[:0])
+
+
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(src, dst): all pairs of distinct ``fp`` values within ``radius`` (0 to 3) bits."""
     if not 0 <= radius <= 3:
-        raise ValueError("halves of 32 bits and variants within one bit cover a radius of 3 at most")
-    own = fps.select("fp").distinct()
-    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
-    # a half is a number below 2^32; half 1 gets bit 32 set to keep the two apart
-    exact = own.select(F.col("fp").alias("y"), F.explode(F.array(low, high + F.lit(1 << 32))).alias("v"))
-    around = own.select(F.col("fp").alias("x"), F.explode(F.array(low, high + F.lit(1 << 32))).alias("h"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    around = around.select("x", F.explode(F.transform(flips, lambda m: F.col("h").bitwiseXOR(m))).alias("v"))
-    pairs = around.join(exact, (around.v == exact.v) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius))
-    return pairs.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+        raise ValueError("variants within two bits cover a radius of 3 at most")
+    spark = fps.sparkSession
+    own = settle(fps.select("fp").distinct())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # variants spread evenly: a bucket of them fits a task whatever the number of rows
+    buckets = max(n, math.ceil(own.count() * sum(map(len, _flips(radius))) / 2 / _BUCKET))
+
+    def emit(it):
+        for b in it:
+            for k in range(0, len(b), 1024):
+                fp, v = variants(b.column(0).to_numpy()[k : k + 1024].view(np.uint64), radius)
+                of = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
+                rows = np.stack((fp[order], v[order]), 1)
+                names, at = np.unique(of[order], return_index=True)
+                off = pa.array(np.append(at, len(rows)) * 16, pa.int32())
+                data = pa.Array.from_buffers(pa.binary(), len(names), [None, off.buffers()[1], pa.py_buffer(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), data], ["bucket", "rows"])
+
+    def meet(it):
+        held, at = [], None
+
+        def pairs():
+            fp, v = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2).T
+            x, y = _meet(fp, v, radius)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["src", "dst"])
+
+        for b in it:
+            for bucket, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != at and held:
+                    yield pairs()
+                    held = []
+                at = bucket
+                held.append(rows.as_py())
+        if held:
+            yield pairs()
+
+    rows = own.mapInArrow(tidied(emit), "bucket long, rows binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return settle(rows.mapInArrow(tidied(meet), "src long, dst long"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, own: DataFrame | None = None) -> DataFrame:
