@@ -7,20 +7,22 @@ deeper at a time, all suffixes at once: the depth it reaches is its longest verb
 match, the interval it ends in holds the places.  Words inside any occurrence of a
 window are hit; documents with a hit are contaminated.
 
-Only suffixes that can match enter the array: those whose first words occur, in that
-order, in some item (at most ``PREFIX`` words, and no more than the shortest window
-has).  Matches are compared byte by byte in the end.  Items are a query set searched
+Only suffixes that can match enter the array: those whose first words begin, in that
+order, some window (``PREFIX`` words, or the whole window if it is shorter).  Equal
+windows are one query.  Matches are compared byte by byte in the end.  Items are a query set searched
 against all rows: they are broadcast in blocks of at most ``BLOCK_BYTES`` of text,
 one pass over the documents for each block.  Nothing is shuffled with one block.
 
 Words are maximal runs of 0-9, a-z (after A-Z became lower case) and anything beyond
 ASCII.  Null texts have no words; items without words are never hit.  With an empty
 item table all documents are clean.  Equal item ids count as one item; items without
-an id make hits, but don't appear in the list of items.
+an id make hits, but don't appear in the list of items.  Documents with equal or null
+keys have each their own row.
 """
 
 from __future__ import annotations
 
+import itertools
 from hashlib import sha256
 
 import numpy as np
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, tidied, utf8
+from .common import chunks, identity, settle, tidied, utf8
+from .pieces import spread
 
 WINDOW = 10
 PREFIX = 4
@@ -79,47 +82,78 @@ class Words:
         self.hash = _mix((total[self.end] - total[self.start]) * down[self.start])
         self.text_at = np.searchsorted(self.start, off)  # first word of each text, and the end
 
-    def phrase(self, a: int, b: int) -> bytes:
-        return b" ".join([self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)])
-
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
     """A number for the n words from each word on (shorter at the end)."""
     out = h.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(h))):
         out[: len(h) - k] = _mix(out[: len(h) - k] * np.uint64(3) + h[k:])
     return out
 
 
 class Items:
-    """A block of benchmark items, ready to be searched for."""
+    """A block of benchmark items, ready to be searched for.  Equal windows are one
+    query, whatever the number of items that hold it."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, window: int):
+    def __init__(self, ids: list[str | None], texts: pa.Array, window: int):
         w = Words(texts)
-        self.words, self.ids, self.window = w, ids, window
+        self.words, self.window = w, window
         n = np.diff(w.text_at)
-        self.item = np.repeat(np.arange(len(ids)), n)
-        left = w.text_at[1:][self.item] - np.arange(len(w.hash))  # words up to the item's end
-        need = np.minimum(window, n[self.item])
-        self.query = np.flatnonzero(left >= need)  # suffixes that a window begins
+        item = np.repeat(np.arange(len(ids)), n)
+        left = w.text_at[1:][item] - np.arange(len(w.hash))  # words up to the item's end
+        need = np.minimum(window, n[item])
+        all_ = np.flatnonzero(left >= need)  # suffixes that a window begins
+        same = _equal_windows(w, all_, need[all_])
+        first, of = np.unique(same, return_inverse=True)
+        self.query = all_[first]
         self.need, self.left = need[self.query], left[self.query]
-        self.prefix = int(min(PREFIX, self.need.min(initial=PREFIX)))
-        self.known = np.unique(_grams(w.hash, self.prefix)[self.query])
-        bits = max(16, int(len(self.known)).bit_length() + 6)
+        # the items of each query, each once, in order
+        names = {x: i for i, x in enumerate(sorted({x for x in ids if x is not None}))}
+        self.names = list(names)
+        code = np.array([names.get(x, -1) for x in ids], np.int64)[item[all_]]
+        pairs = np.unique(np.stack((of, code), 1)[code >= 0], axis=0) if len(all_) else np.zeros((0, 2), np.int64)
+        self.item = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        # the first words of queries, by how many tell a suffix apart
+        start = np.minimum(PREFIX, self.need)
+        self.prefixes = [(int(k), Known(_grams(w.hash, int(k))[self.query[start == k]])) for k in np.unique(start)]
+
+
+def _equal_windows(w: Words, at: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each window the place (in ``at``) of the first one with the same words."""
+    out = np.arange(len(at))
+    for n in np.unique(need):
+        some = np.flatnonzero(need == n)
+        _, first, back = np.unique(_grams(w.hash, int(n))[at[some]], return_index=True, return_inverse=True)
+        to = first[back]
+        words = np.arange(n)
+        equal = (w.hash[at[some][:, None] + words] == w.hash[at[some][to][:, None] + words]).all(1)
+        out[some[equal]] = some[to[equal]]
+    return out
+
+
+class Known:
+    """A set of numbers with a bitmap in front."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        bits = max(16, int(len(self.values)).bit_length() + 6)
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[(self.known >> self.shift).astype(np.int64)] = True
+        self.maybe[(self.values >> self.shift).astype(np.int64)] = True
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.maybe[(x >> self.shift).astype(np.int64)])
+        return at[np.isin(x[at], self.values)]
 
 
 def search(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches of at least a window: (word of the text, item word, length), the
-    longest verbatim match of that suffix pair."""
+    """Matches of at least a window: (word of the text, query, length), the longest
+    verbatim match of that suffix with the item the query was taken from."""
     none = np.zeros(0, np.int64)
     if not len(items.query) or not len(w.hash):
         return none, none, none
-    gram = _grams(w.hash, items.prefix)
-    at = np.flatnonzero(items.maybe[(gram >> items.shift).astype(np.int64)])
-    at = at[np.isin(gram[at], items.known)]
+    at = np.unique(np.concatenate([known.places(_grams(w.hash, k)) for k, known in items.prefixes]))
     if not len(at):
         return none, none, none
     text = np.searchsorted(w.text_at, at, "right") - 1
@@ -153,47 +187,68 @@ def search(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo[go], hi[go] = new_lo, new_hi
     n = np.maximum(hi - lo, 0)
     q = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[q]
-    start, room = at[place], room[place]
+    start, room = at[spread(lo, n)], room[spread(lo, n)]
+    # equal numbers are very likely equal words; make sure
+    same = np.concatenate([np.ones(0, bool), *(_same_words(w, start[k : k + 4096], items.words, items.query[q[k : k + 4096]], items.need[q[k : k + 4096]]) for k in range(0, len(q), 4096))])
+    q, start, room = q[same], start[same], room[same]
     length, j = items.need[q].copy(), items.query[q]
     most = np.minimum(room, items.left[q])
     go = np.arange(len(q))
     while len(go := go[length[go] < most[go]]):
         go = go[w.hash[start[go] + length[go]] == items.words.hash[j[go] + length[go]]]
         length[go] += 1
-    known: dict[int, bytes] = {}  # equal numbers are very likely equal words; make sure
-    same = np.ones(len(q), bool)
-    for i, (a, b, m, k) in enumerate(zip(start.tolist(), j.tolist(), items.need[q].tolist(), q.tolist(), strict=True)):
-        if k not in known:
-            known[k] = items.words.phrase(b, b + m)
-        same[i] = w.phrase(a, a + m) == known[k]
-    return start[same], j[same], length[same]
+    return start, q, length
+
+
+def _same_words(w: Words, a: np.ndarray, v: Words, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n words from a on are, byte by byte, those from b on."""
+    i, j, of = spread(a, n), spread(b, n), np.repeat(np.arange(len(n)), n)
+    size = w.end[i] - w.start[i]
+    bad = np.zeros(len(n), bool)
+    fits = size == v.end[j] - v.start[j]
+    bad[of[~fits]] = True
+    i, j, of, size = i[fits], j[fits], of[fits], size[fits]
+    differ = w.data[spread(w.start[i], size)] != v.data[spread(v.start[j], size)]
+    bad[np.repeat(of, size)[differ]] = True
+    return ~bad
 
 
 def _spans(docs: DataFrame, items: Items):
     """A function of batches of (key, text) that makes a row for each document: its
     number of words, its spans of hit words, its items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    batches(docs.sparkSession, 500)
 
     def run(it):
         for b in it:
             for part in chunks(b, "t", _SLICE):
-                w = Words(part.column(1))
-                start, j, length = search(shared.value, w)
+                w, own = Words(part.column(1)), shared.value
+                start, q, length = search(own, w)
                 of = np.searchsorted(w.text_at, start, "right") - 1
-                spans = [[] for _ in range(len(part))]
-                names = [set() for _ in range(len(part))]
-                first = w.text_at[of] if len(of) else of
-                for d, a, n, x in zip(of.tolist(), (start - first).tolist(), length.tolist(), shared.value.item[j].tolist(), strict=True):
-                    spans[d].append({"a": a, "b": a + n})
-                    if shared.value.ids[x] is not None:
-                        names[d].add(shared.value.ids[x])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.text_at)), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], ["k", "n_words", "spans", "items"])
+                order = np.lexsort((start, of))
+                first = (start - w.text_at[of])[order]
+                at = np.searchsorted(of[order], np.arange(len(part) + 1))
+                kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+                spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(first), pa.array(first + length[order])], fields=list(kind)))
+                # each item of a document once
+                met = np.unique(np.stack((of, q), 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+                names: list[list[str]] = []
+                cuts = np.searchsorted(met[:, 0], np.arange(len(part) + 1)).tolist()
+                for x, y in itertools.pairwise(cuts):
+                    some = met[x:y, 1]
+                    got = np.unique(own.item[spread(own.item_at[some], own.item_at[some + 1] - own.item_at[some])]) if y > x else []
+                    names.append([own.names[i] for i in got])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.text_at)), spans, pa.array(names, pa.list_(pa.string()))], ["k", "n_words", "spans", "items"])
 
     return run
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The documents without a hit, as they are.  Equal texts share their lot."""
+    mark = docs.select(identity(F.col(text)).alias("id"), F.col(text).alias(text))
+    gone = settle(contamination(mark, items, text=text, key="id", **settings).where("contaminated").select("id").distinct())
+    return docs.join(gone, identity(F.col(text)) == gone["id"], "left_anti")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, spans, items, contaminated): a row
     for each document.  ``spans`` are merged runs of hit words, ``items`` sorted ids.
