@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, tidied
+from .common import chunks, tidied
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -64,7 +64,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if n > max_docs:
         share = max_docs / n
         known = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
-    batches(docs.sparkSession, 500)
 
     def count(it):
         total: dict[str, np.ndarray] = {}
@@ -82,7 +81,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             some = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array(np.append(some, -1)), pa.array(np.append(got[some], docs_of[name]))], ["lang", "bucket", "n"])
 
-    counts = known.select(F.col(text).alias("t"), F.col(lang).alias("l")).coalesce(12).mapInArrow(tidied(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets rows at most
+    counts = known.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(tidied(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets rows at most
     langs = sorted(set(counts.column("lang").to_pylist()))
     of = {x: i for i, x in enumerate(langs)}
     table = np.zeros((BUCKETS * len(ORDERS) + 1, max(1, len(langs))))
@@ -120,9 +119,7 @@ def score(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every row; whole texts."""
-    spark = docs.sparkSession
-    batches(spark, 500)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         for b in it:

@@ -13,18 +13,22 @@
 
 The table of sites and paths is joined by key, so Spark broadcasts it only while it
 is small.  Null hosts and paths are values like any other; null texts are empty and
-rejected, as is every text without a word.  Without labels, or with labels of one
-kind only, everything with a word is kept.
+rejected, as is every text without a word.  Without labels everything with a word is
+kept; with labels of one kind only, that kind is not learned.  Of several labels of a
+document the worse counts.  Rows with equal or null keys are judged each for its own
+text; a null key has no label.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, chunks, settle, tidied, utf8
+from .common import chunks, settle, tidied, utf8
 from .decontaminate import Words
 
 #: At most about so many labelled documents are learned from (by a hash of the key).
@@ -112,14 +116,13 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", toxic: str = "toxic", max_docs: int = MAX_TRAIN_DOCS) -> Model:
     spark = docs.sparkSession
-    known = labels.select(F.col(key).alias("k"), F.col(quality).cast("int").alias("q"), F.col(toxic).cast("int").alias("x")).dropna().dropDuplicates(["k"])
+    known = labels.select(F.col(key).alias("k"), F.col(quality).cast("int").alias("q"), F.col(toxic).cast("int").alias("x")).dropna().groupBy("k").agg(F.min("q").alias("q"), F.max("x").alias("x"))
     n = known.count()
     if n > max_docs:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
     # a bounded number of short rows: broadcast, so that texts stay where they are
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("t", "q", "x")
     sample = settle(sample.where("t is not null").repartition(12))
-    batches(spark, 500)
 
     def words(it):
         total = np.zeros((BUCKETS, 4), np.int64)
@@ -142,7 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     size = table[-1]
     rate = (table[:-1] + SMOOTH * size / max(1.0, size[:2].sum())) / np.maximum(size + SMOOTH, 1)
     # column 0 speaks for low quality, column 1 for toxicity
-    odds = np.stack((np.log(rate[:, 1] / rate[:, 0]), np.log(rate[:, 3] / rate[:, 2])), 1) if (size > 0).all() else np.zeros((BUCKETS, 2))
+    with np.errstate(divide="ignore", invalid="ignore"):  # of a kind that no label has
+        odds = np.stack((np.log(rate[:, 1] / rate[:, 0]), np.log(rate[:, 3] / rate[:, 2])), 1)
+    odds[:, [not size[:2].all(), not size[2:].all()]] = 0.0
     odds[table[:-1, :2].sum(1) < 3] = 0.0
     odds = np.clip(odds, -9, 9).astype(np.float32)
     shared = spark.sparkContext.broadcast(odds)
@@ -165,18 +170,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def evidence(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """(row, h, p, e): all columns of each document as a struct, its host and path, and
-    the classifier's probability."""
+    the classifier's probability.  Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    batches(docs.sparkSession, 500)
-    rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"), F.col(text).alias("t"))
 
-    def run(it):
-        for b in it:
-            for part in chunks(b, "t", _SLICE):
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shared.value.good(part.column(3)))], ["row", "h", "p", "e"])
+    @F.arrow_udf("double")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in tidied(lambda it: it)(texts):
+            b = pa.RecordBatch.from_arrays([b], ["t"])
+            yield pa.array(np.concatenate([np.zeros(0), *(shared.value.good(part.column(0)) for part in chunks(b, "t", _SLICE))]))
 
-    kind = rows.schema["row"].dataType
-    return rows.mapInArrow(tidied(run), f"row {kind.simpleString()}, h string, p string, e double")
+    return docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"), good(F.col(text)).alias("e"))
 
 
 def _logit(c):

@@ -55,6 +55,31 @@ def test_near_vectors(spark, settings):
     assert near_vectors.near(df.limit(0)).count() == 0 and near_vectors.near(df.where("vec_id in (1000, 1004)")).count() == 2
 
 
+def test_near_vectors_of_any_length_and_repeated_keys(spark):
+    """Every row counts, whatever its key; lengths don't mix."""
+    a, b, c = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [1.0] * 5
+    rows = [(1, a), (1, a), (2, a), (None, b), (7, [0.0, 0.0, -1.0]), (8, c), (9, c), (None, c), (None, None), (None, None)]
+    got = near_vectors.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted([("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("7", 0, "7", True), ("8", 2, "8", True), ("9", 2, "8", False), ("None", 2, "8", False), ("None", 0, "None", True), ("None", 0, "None", True)])
+
+
+def test_equal_vectors_are_one_node(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(30_000).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(i % 7) + 1) for i in range(64)]).alias("embedding"))
+    out = near_vectors.near(many).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.count("*")).first()
+    assert tuple(out) == (29_999, 29_999, 0, 30_000)
+
+
+def test_the_session_keeps_its_settings(spark):
+    """Operators bound their Arrow batches without leaving that to the caller."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in names]
+    warc.round_trip(spark.createDataFrame(PAGES[:2], SCHEMA)).count()
+    html_text.extract(spark.createDataFrame(PAGES[:2], SCHEMA)).count()
+    assert [spark.conf.get(k) for k in names] == before
+
+
 def test_window_counts_reach_the_recall_they_are_set_for():
     r = np.random.default_rng(3)
     p = r.standard_normal((20000, near_vectors.PROJECTIONS))  # differences of pairs at the threshold
@@ -85,14 +110,32 @@ def test_warc_archives_are_gzip_and_missing_segments_are_noticed(spark):
     warc.write(spark.createDataFrame(PAGES, SCHEMA).coalesce(1), path)
     parsed = warc.read_records(spark, path)
     assert parsed.where("record_type = 'continuation'").count() > 2
-    cut = warc.reassemble(parsed.where("not (segment = 2 and origin = 'urn:sparkbags:page:6')"))
-    assert [r.record_id for r in cut.where("not complete").collect()] == ["urn:sparkbags:page:6"]
-    data = b"".join(warc.records(1, "http://a/", b"pay", warc.digest(b"pay"), None))
+    origin = parsed.where("page_id = '6'").first().record_id
+    lost = parsed.where(f"not (segment = 2 and origin = '{origin}')")
+    assert [r.page_id for r in warc.reassemble(lost).where("not complete").collect()] == ["6"]
+    altered = parsed.selectExpr(*[c if c != "digest" else "if(page_id = '7', 'X', digest) as digest" for c in parsed.columns])
+    assert [r.page_id for r in warc.reassemble(altered).where("not complete").collect()] == ["7"]
+    for broken in (lost, altered):
+        with pytest.raises(Exception, match="incomplete or damaged"):
+            warc.reassemble(broken, strict=True).collect()
+    data = b"".join(warc.records("0-0", 1, "http://a/", b"pay", warc.digest(b"pay"), None))
     assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: response")
     with pytest.raises(ValueError):
         list(warc.parse(data[:-9]))
 
 
+def test_warc_keeps_rows_with_repeated_and_null_ids_apart(spark):
+    """Payloads of several segments under one id, or under none."""
+    rows = [(1, "u", "a" * 100_000, "x"), (1, "u", "a" * 100_000, "x"), (1, "u", "b" * 90_000, "x"), (None, "u", "c" * 80_000, "x"), (None, "u", "d" * 70_000, "x"), (None, "u", "a" * 100_000, "x"), (None, None, "s", "x"), (None, None, "s", "x")]
+    got = [tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = []
+    for i, _, h, _ in rows:
+        sha = base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        first = i is not None or h[0] != "a"
+        want.append((i, len(h), sha, "response" if first else "revisit", None if first else 1))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("n", [0, 1, 8191, 8192, 20000])
 def test_chunked_framing(n):
     p = bytes(random.Random(n).randrange(256) for _ in range(n))
@@ -120,6 +163,46 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 300])
+def test_pages_take_time_in_proportion_to_their_length(n):
+    """Deep, unclosed and cut pages; a quadratic parser would not end here."""
+    for part in ("<div>", '<div class="a">x', '<a title="x>t', '<div class="ad">x', "<i>", "</b>", "<article>x", "<a ", "<!-- ", "<title>x", "<"):
+        whole = html_text.Page(part * n * 100)
+        whole.contents(), whole.text()
+
+
+def test_words_in_names_are_no_names():
+    page = '<article>a<p class="ad-hoc">b</p><div class="social-science">c</div><div id="related-work">d</div><div class="ad-slot-2">X</div><div class="cookieBanner">Y</div></article>'
+    assert html_text.text_of(page) == "a\n\nb\n\nc\n\nd"
+
+
+def test_importance_equals_a_plain_count(spark):
+    """The tree of hosts whose templates have no known names, against sums over pages."""
+    import math
+    import re
+
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.com"
+        deal = "".join(f'<div class="{x}">{r.choice(["same", "text", str(i)])}<div class="in">{r.choice(["u", "v", str(i)])}</div></div>' for x in r.sample("pqrs", 3))
+        rows.append((i, f"http://{host}/{i}", f"<body>{deal}</body>", "k"))
+    rows.append((99, "http://h0.com/copy", rows[0][2], "k"))
+    got = sorted((t.host, t.m, round(t.importance, 9)) for t in html_text.style_tree(spark.createDataFrame(rows, SCHEMA)).collect())
+    pages: dict = {}
+    for host, page in {(u.split("/")[2], h) for _, u, h, _ in rows}:
+        for name, text, below in re.findall(r'<div class="(.)">(.*?)<div class="in">(.*?)</div>', page):
+            pages.setdefault((host, name), []).append({text, ("in", below)})
+            pages.setdefault((host, name, "in"), []).append({below})
+    want = []
+    for (host, *_), seen in pages.items():
+        m, features = len(seen), set().union(*seen)
+        f = [sum(x in own for own in seen) for x in features]
+        want.append((host, m, round(1 - sum(map(math.log, f)) / len(f) / math.log(m), 9) if m > 1 else 1.0))
+    assert got == sorted(want)
+    assert len({x[2] for x in got}) > 5
+
+
 @pytest.mark.parametrize("page,want", [
     ('<body><div class="page has-sidebar"><article><p>long text</p></article><div class="sidebar">s</div></div>', "long text"),
     ('<div class="widget-container"><div class="menu">m</div><main><p>long text</p></main></div>', "long text"),
