@@ -46,6 +46,17 @@ class Bag:
         fs, path = self._fs()
         return len([s for s in fs.listStatus(path) if not s.getPath().getName().startswith(("_", "."))])
 
+    def chunks(self) -> list[str]:
+        """The files of the bag in the order of their names: places to read from."""
+        fs, path = self._fs()
+        names = [s.getPath() for s in fs.listStatus(path) if not s.getPath().getName().startswith(("_", "."))]
+        return sorted(p.toString() for p in names)
+
+    def chunk(self, at: int) -> DataFrame:
+        """The rows of one chunk, without reading the others."""
+        reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
+        return reader.parquet(self.chunks()[at])
+
     def write(self, df: DataFrame, mode: str = "append") -> Bag:
         """Add rows (or replace them).  A bag can't be replaced by what reads it."""
         if self.schema is not None and [f.name for f in self.schema] != df.columns:

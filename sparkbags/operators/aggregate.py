@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salt
+
 
 def group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
@@ -30,9 +32,10 @@ def group_apply(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.D
 
 
 def group_merge(df: DataFrame, keys: list[str], update: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, salts: int = 32) -> DataFrame:
-    """``update`` makes one partial row from the rows of a key in each of some random
-    shares, ``merge`` one row from the partial rows of a key (same schema)."""
-    salted = df.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
+    """``update`` makes one partial row from the rows of a key in each of some shares (by
+    a hash of the row, so a retried task deals out the same), ``merge`` one row from the
+    partial rows of a key (same schema)."""
+    salted = salt(df, salts)
     partial = salted.groupBy(*keys, "_salt").applyInPandas(lambda p: update(p.drop(columns="_salt")), schema)
     return partial.groupBy(*keys).applyInPandas(merge, schema)
 

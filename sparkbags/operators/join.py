@@ -25,6 +25,20 @@ def lookup(probe: DataFrame, build: DataFrame, on: list[str], how: str = "inner"
     return out.fillna(defaults) if defaults else out
 
 
+def dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an order: a probe that remembers the keys it has
+    offered.  Rows combine before they are sent, so a key may hold any share of them."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order, *[c for c in df.columns if c not in order])).alias("_row"))
+    return first.select("_row.*")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], **states: Column) -> DataFrame:
+    """Adds to each row the state of its key after it, in an order: aggregates over the
+    rows up to it.  The order must tell rows apart for the states to be determined."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[c.over(w).alias(n) for n, c in states.items()])
+
+
 def theta(left: DataFrame, right: DataFrame, cond: Column, how: str = "inner") -> DataFrame:
     """Any condition; put an equality into it wherever there is one."""
     return left.join(right, cond, how)

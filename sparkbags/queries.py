@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bag import Bag
+from .functions.hashing import flow_of
 from .functions.text import join_tokens, tokenize
 from .operators import aggregate, join, reduce, skew, split, transform
 from .plans.app import Application, Blueprint
@@ -58,11 +59,11 @@ def map_project(spark, d):
     return transform.map_rows(_t(spark, d, "lineitem"), l_orderkey=F.col("l_orderkey"), revenue=F.expr(_PRICE))
 
 
-@query("select c_custkey, lower(c_name) as name from customer")
+@query("select c_custkey, array_to_string(list_transform(string_split(c_name, ''), lambda x: case when x = upper(x) then lower(x) else upper(x) end), '') as name from customer")
 def map_python(spark, d):
-    t = _t(spark, d, "customer")
-    lower = F.udf(str.lower, "string", useArrow=True)
-    return t.select("c_custkey", lower("c_name").alias("name"))
+    """A function that no built-in is, on Arrow batches."""
+    swapped = F.pandas_udf(lambda s: s.str.swapcase(), "string")
+    return _t(spark, d, "customer").select("c_custkey", swapped("c_name").alias("name"))
 
 
 @query("select event_id, user_id, value from events where event_type = 'purchase' and value > 100")
@@ -101,11 +102,28 @@ def group_distinct(spark, d):
     return aggregate.group(_t(spark, d, "events"), ["event_type"], users=F.count_distinct("user_id"))
 
 
-@query()
+@query("select event_type, true as near from events group by event_type")
 def group_approx_distinct(spark, d):
-    """Sketches by type and day, merged by type."""
+    """Sketches by type and day, merged by type: within 5 % of the exact number."""
     e = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return aggregate.merge_sketches(aggregate.distinct_sketch(e, ["event_type", "day"], "user_id"), ["event_type"])
+    got = aggregate.merge_sketches(aggregate.distinct_sketch(e, ["event_type", "day"], "user_id"), ["event_type"])
+    exact = aggregate.group(e, ["event_type"], exact=F.count_distinct("user_id"))
+    return join.lookup(got, exact, ["event_type"]).select("event_type", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
+@query("select cast(c_nationkey as bigint) as k, count(*) as n, max(c_acctbal) as top from customer group by c_nationkey")
+def group_apply(spark, d):
+    """A Python function over all rows of a key at once."""
+    t = _t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k"), "c_acctbal")
+    f = lambda p: p.groupby("k", as_index=False).agg(n=("c_acctbal", "size"), top=("c_acctbal", "max"))
+    return aggregate.group_apply(t, ["k"], f, "k long, n long, top double")
+
+
+@query("select user_id, 1 as flows, count(*) as n from events group by user_id")
+def split_by_hash(spark, d):
+    """Flows by the hash of a key, each in one partition: a key has one flow."""
+    e = split.exchange(_t(spark, d, "events").select("user_id"), 8, flow_of("user_id", 8, hashed=True))
+    return aggregate.group(e, ["user_id"], flows=F.count_distinct("_flow").cast("int"), n=F.count("*"))
 
 
 @query("select cast(props->>'$.k' as bigint) as key, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by 1")
@@ -180,6 +198,45 @@ def join_theta(spark, d):
     return got.where("o_orderkey is not null").select("o_custkey", F.col("o_orderkey").alias("last_order"))
 
 
+@query("select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal")
+def join_theta_pairs(spark, d):
+    """An equality and an inequality in one condition."""
+    a, b = (_t(spark, d, "supplier").select(*[F.col(c).alias(f"{x}_{c}") for c in ("s_suppkey", "s_nationkey", "s_acctbal")]) for x in "ab")
+    got = join.theta(a, b, (F.col("a_s_nationkey") == F.col("b_s_nationkey")) & (F.col("a_s_acctbal") < F.col("b_s_acctbal")))
+    return got.select(F.col("a_s_suppkey").alias("a"), F.col("b_s_suppkey").alias("b"))
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as r from events) where r = 1")
+def probe_dedup(spark, d):
+    """A probe that offers each key once."""
+    return join.dedup(_t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+@query("select user_id, event_id, count(*) over w as seen, max(value) over w as top from events window w as (partition by user_id order by event_id rows unbounded preceding)")
+def probe_running(spark, d):
+    """A probe that carries a state for each key from row to row."""
+    e = _t(spark, d, "events").select("user_id", "event_id", "value")
+    return join.running(e, ["user_id"], ["event_id"], seen=F.count("*"), top=F.max("value")).drop("value")
+
+
+@query("select n_name, s_suppkey from supplier right join nation on s_nationkey = n_nationkey")
+def join_right(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    return join.lookup(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey"), n, ["k"], "right").select("n_name", "s_suppkey")
+
+
+@query("select coalesce(c.k, s.k) as k, c.n as customers, s.n as suppliers from (select c_custkey as k, 1 as n from customer) c full join (select s_suppkey * 100 as k, 1 as n from supplier) s on c.k = s.k")
+def join_full(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("customers"))
+    return join.lookup(c, _t(spark, d, "supplier").select((F.col("s_suppkey") * 100).alias("k"), F.lit(1).alias("suppliers")), ["k"], "full")
+
+
+@query("select o_orderkey, l_linenumber, l_partkey from orders join lineitem on o_orderkey = l_orderkey")
+def join_one_to_many(spark, d):
+    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    return join.lookup(_t(spark, d, "orders").select("o_orderkey"), items, ["o_orderkey"])
+
+
 @query("select b.lo, count(*) as n from events e join (select range * 10 as lo from range(0, 50)) b on e.value >= b.lo and e.value < b.lo + 10 group by b.lo")
 def join_range(spark, d):
     bins = spark.range(50).select((F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 10).alias("hi"))
@@ -366,6 +423,33 @@ def set_ops(spark, d):
     return c.intersect(s).unionAll(n.subtract(s))
 
 
+@query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")
+def cube_count(spark, d):
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("select event_type, user_id, count(*) as n from events group by grouping sets ((event_type), (user_id), ())")
+def grouping_sets(spark, d):
+    return _t(spark, d, "events").groupingSets([["event_type"], ["user_id"], []], "event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, n_name, f.format from nation, (values ('csv'), ('json'), ('orc')) f(format)")
+def format_roundtrips(spark, d):
+    """Spark's own formats, written and read back."""
+    t, root, out = _t(spark, d, "nation").select("n_nationkey", "n_name"), shared_dir(spark), []
+    for kind in ("csv", "json", "orc"):
+        t.write.format(kind).save(f"{root}/{kind}")
+        out.append(spark.read.format(kind).schema(t.schema).load(f"{root}/{kind}").withColumn("format", F.lit(kind)))
+    return split.union(*out)
+
+
+@query("select c_custkey, c_nationkey from customer")
+def bag_chunks(spark, d):
+    """A bag read chunk by chunk, each by its place."""
+    bag = Bag(spark, shared_dir(spark), "customers").write(_t(spark, d, "customer").select("c_custkey", "c_nationkey").repartition(3))
+    return split.union(*[bag.chunk(i) for i in range(len(bag.chunks()))])
+
+
 @query("select l_returnflag, l_linestatus, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus)")
 def rollup_count(spark, d):
     return _t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

@@ -59,9 +59,13 @@ _own_dir: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all machines share.
-    Where that is unset (a local session) a temporary folder takes its place."""
+    Only a session whose tasks all run in the driver's process may leave that unset: a
+    temporary folder takes its place there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="sparkbags-"))
             atexit.register(shutil.rmtree, _own_dir[0], True)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkbags import cli
 from sparkbags.bag import Bag
-from sparkbags.plans.app import Application, Blueprint
+from sparkbags.plans.app import Application, Blueprint, BySize, Fixed
 from sparkbags.stats import measured_write, progress
 from sparkbags.streaming import consume
 
@@ -36,6 +36,19 @@ def test_phases_merge_and_restart(spark, tmp_path):
     assert app.describe().splitlines()[1] == "phase 1: sum(in) -> out [merge]"
 
 
+def test_clones_are_admitted_by_strategy(spark, tmp_path):
+    """No clone for small inputs, several for large ones; the result is the same."""
+    want = {k: sum(range(k, 100, 7)) for k in range(7)}
+    for name, strategy in (("one", BySize(1 << 40)), ("some", BySize(100, 3)), ("four", Fixed(4))):
+        app = Sums(spark, str(tmp_path / name))
+        app.strategy, seen = strategy, []
+        merge = app.merge
+        app.merge = lambda phase, b, parts, merge=merge, seen=seen: seen.append(len(parts)) or merge(phase, b, parts)
+        assert {r.k: r.s for r in app.run().bag("out").df.collect()} == want
+        assert seen == {"one": [], "some": [3], "four": [4]}[name]
+        assert not app.bag("out.shares").exists() and not app.bag("out.clone0").exists()
+
+
 def test_a_failing_task_ends_the_run(spark, tmp_path):
     app = Sums(spark, str(tmp_path))
     app.fail = True
