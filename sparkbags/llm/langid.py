@@ -6,7 +6,8 @@ broadcast.  A batch of texts is scored with numpy: the n-gram ids of all its tex
 are one array, their rows of the matrix are gathered and summed by text.
 
 Null texts and texts without a letter get ``und`` and score 0.  An empty training
-set gives ``und`` everywhere.  Ties go to the alphabetically first language.
+set gives ``und`` everywhere.  Ties go to the alphabetically first language.  Rows
+with equal or null keys are scored each for its own text, whatever texts stand beside it.
 """
 
 from __future__ import annotations
@@ -48,9 +49,13 @@ def ngram_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     marks = np.flatnonzero(end)  # one more than there are texts
     ids = np.empty((len(ORDERS), len(code)), np.int64)
     h = np.zeros(len(code), np.uint32)
+    beyond = np.zeros(len(code), bool)  # the text has ended before the n-gram's last character
     for k, n in enumerate(ORDERS):
         last = np.full(len(code), 32, np.uint32)
         last[: len(code) - n + 1] = code[n - 1 :]
+        if n > 2:
+            beyond[: len(code) - n + 2] |= end[n - 2 :]
+        last[beyond] = 32
         h = (h ^ last) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         ids[k] = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64) + k * BUCKETS

@@ -295,6 +295,47 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_grams(text):
+    """Bucket numbers of a text's n-grams, character by character."""
+    t = " " + re.sub(r"^ +", "", re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())))
+    out, m = [[] for _ in langid.ORDERS], 0xFFFFFFFF
+    for i in range(len(t)):
+        h = 0
+        for k, n in enumerate(langid.ORDERS):
+            h = (h ^ ord(t[i + n - 1] if i + n - 1 < len(t) else " ")) * 0x9E3779B1 & m
+            h ^= h >> 15
+            out[k].append(((h * 0x85EBCA6B & m) >> 17) + k * langid.BUCKETS)
+    return out
+
+
+def test_language_scores_equal_plain_ones(spark):
+    """Counts, log probabilities and sums by a plain loop; neighbours don't matter."""
+    import math
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang").limit(60).collect()
+    known, asked = [r for r in rows[:40] if r.lang], [r.text for r in rows[40:]] + [None, "a", "", "Ab c", "-x-", "ab"]
+    langs = sorted({r.lang for r in known})
+    counts, docs_of = {x: Counter() for x in langs}, Counter(r.lang for r in known)
+    for r in known:
+        for grams in plain_grams(r.text):
+            counts[r.lang].update(grams)
+    total = {(x, k): sum(n for g, n in counts[x].items() if g // langid.BUCKETS == k) + 0.1 * langid.BUCKETS for x in langs for k in range(3)}
+    model = langid.train(spark.createDataFrame([(i, r.text, r.lang) for i, r in enumerate(known)], "doc_id long, text string, lang string"))
+    assert model[0] == langs
+    got, p = langid.score(asked, *model)
+    for t, name, score in zip(asked, got, p.tolist(), strict=True):
+        if not any(c.isalpha() for c in t or ""):
+            assert (name, score) == ("und", 0)
+            continue
+        grams = plain_grams(t)
+        z = [math.log((docs_of[x] + 1) / sum(docs_of[y] + 1 for y in langs)) + sum(math.log((counts[x][g] + 0.1) / total[x, k]) for k in range(3) for g in grams[k]) for x in langs]
+        z = [v / max(1, math.sqrt(len(grams[0]))) for v in z]
+        want = 1 / sum(math.exp(v - max(z)) for v in z)
+        assert name == langs[z.index(max(z))] and abs(score - want) < 1e-3
+        alone = langid.score([t], *model)
+        assert alone[0] == [name] and abs(alone[1][0] - score) < 1e-9
+
+
 def test_language_edges(spark):
     few = spark.createDataFrame([(1, "der die das und", "de", 1), (2, "the of and to", "en", 1), (3, None, "en", 1), (4, "12 !?", None, 1), (5, "Das und die", None, 1)], "doc_id long, text string, lang string, t int")
     got = by_key(langid.identify(few, langid.train(few)))
@@ -311,6 +352,51 @@ def test_quality(spark):
     assert sum(got[k].keep == v for k, v in labels.items()) > 0.97 * len(labels)
 
 
+def test_quality_of_labels_it_has_not_seen(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.where("doc_id % 2 = 1").collect()}
+    got = {r.doc_id: r.keep for r in quality.classify(docs, labels.where("doc_id % 2 = 0")).collect()}
+    assert sum(got[k] == v for k, v in want.items()) > 0.95 * len(want)
+
+
+def test_posteriors_equal_plain_ones(spark):
+    """Sites, paths, strengths and odds by plain sums over all documents."""
+    import math
+
+    r = random.Random(6)
+    rows = [(f"h{r.randrange(5)}" if r.random() < 0.9 else None, r.choice(["x", "y", None]), r.random() ** (1 + i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "h string, p string, e double")
+    got = quality.posterior(df, quality.site_posteriors(df)).collect()
+    cut = lambda x: min(1 - 1e-6, max(1e-6, x))
+    logit = lambda x: math.log(cut(x) / (1 - cut(x)))
+    mu = sum(x[2] for x in rows) / len(rows)
+
+    def groups(keys):
+        out = {}
+        for x in rows:
+            n, s = out.get(x[:keys], (0, 0.0))
+            out[x[:keys]] = (n + 1, s + x[2])
+        return out
+
+    def strength(own, mean):
+        ss = sum(n * (s / n - mean(k)) ** 2 for k, (n, s) in own.items())
+        noise = sum(mean(k) * (1 - mean(k)) for k in own)
+        n = sum(n for n, _ in own.values())
+        v = sum(m * mean(k) * (1 - mean(k)) for k, (m, _) in own.items())
+        return min(1e6, max(2.0, v / n / max(1e-9, (ss - noise) / n) - 1))
+
+    hosts, paths = groups(1), groups(2)
+    k1 = strength(hosts, lambda k: mu)
+    host = {k: (s + k1 * mu) / (n + k1) for k, (n, s) in hosts.items()}
+    k2 = strength(paths, lambda k: host[k[:1]])
+    shift = {k: logit((s + k2 * host[k[:1]]) / (n + k2)) - logit(mu) for k, (n, s) in paths.items()}
+    want = sorted((x[2], 1 / (1 + math.exp(-(logit(x[2]) + shift[x[:2]])))) for x in rows)
+    assert len(got) == len(want)
+    for x, (e, post) in zip(sorted(got, key=lambda x: x.e), want, strict=True):
+        assert x.e == e and abs(x.posterior - post) < 1e-6 and x.keep == (x.posterior >= 0.5)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "en", 0.5), (2, "", "s", None, 0.5), (3, "a word", "s", "en", 0.5)], "doc_id long, text string, source string, lang string, e double")
     labels = spark.createDataFrame([(3, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
