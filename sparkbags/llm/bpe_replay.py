@@ -36,7 +36,7 @@ from .common import chunks, tidied, utf8
 from .pieces import Codes, Table, split, split_by, spread
 
 #: Bytes of text in one array, and bytes whose new words are replayed together.
-_SLICE, _BLOCK = 1 << 20, 8 << 20
+_SLICE, _BLOCK = 1 << 20, 4 << 20
 #: Words remembered by a worker before it starts anew.
 MEMORY = 1 << 20
 #: Ranks whose index is sorted at a time.
@@ -169,7 +169,8 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     sym = merges.byte[raw]
     m = len(raw)
     # neighbours; place m is beyond every word
-    after, before = np.arange(1, m + 1), np.arange(-1, m)
+    kind = np.int32 if m < 2**31 - 1 else np.int64
+    after, before = np.arange(1, m + 1, dtype=kind), np.arange(-1, m, dtype=kind)
     tail = head + size - 1
     after[tail[size > 0]] = m
     before[:m][head[size > 0]] = m
@@ -183,7 +184,7 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     sym = np.append(sym, 0)
     dead = np.zeros(m + 1, bool)
     odd: list[np.ndarray] = []  # places of words that meet a lower rank than the current one
-    place = np.flatnonzero(rank != NONE)
+    place = np.flatnonzero(rank != NONE).astype(kind)
     waiting = [(rank[place], place)]
     for low in range(0, merges.top, _SPAN):
         # the index of the next ranks: their positions in order, and where each begins
@@ -197,12 +198,12 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         for k in range(_SPAN):
             own = p[start[k] : start[k + 1]]
             if more := late.pop(low + k, None):
-                own = np.unique(np.concatenate((own, more)))
+                own = np.unique(np.concatenate((own, np.array(more, own.dtype))))
             elif not len(own):
                 continue
             _apply(own, low + k, low, merges, sym, rank, before, after, dead, waiting, late, odd)
     live = ~dead[:m]
-    left = np.bincount(np.repeat(np.arange(n), size)[live], minlength=n)
+    left = np.add.reduceat(np.append(live, False), head, dtype=np.int64) * (size > 0)
     for i, token in whole.items():
         live[head[i] + 1 : head[i] + size[i]] = False
         sym[head[i]] = token

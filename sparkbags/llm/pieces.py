@@ -152,7 +152,7 @@ class Table:
         if 2 * self.n > len(self.keys):
             old = self.keys != _FREE
             key, value = np.concatenate((self.keys[old], key)), np.concatenate((self.values[old], value))
-            self._resize(int(self.n).bit_length() + 2)
+            self._resize(int(self.n).bit_length() + 1)
         at = self._slot(key)
         while len(key):  # linear probing; of those that want one slot, one gets it
             free = self.keys[at] == _FREE
@@ -213,20 +213,22 @@ class Codes:
         for raw, start in parts:
             end = np.append(start[1:], len(raw))
             h = hashes(raw, start, end)
-            code = self.table.get(h).astype(np.int64)
+            code = self.table.get(h)
             miss = np.flatnonzero(code < 0)
             own, place = np.unique(h[miss], return_index=True)
             data, place = raw.tobytes(), miss[place]
             for k, i, j in zip(own.tolist(), start[place].tolist(), end[place].tolist(), strict=True):
                 if k not in fresh:
                     fresh[k] = data[i:j]
-            seen.append((end, code, miss, h[miss]))
+            seen.append((code, h[miss]))
         if fresh:
             self.table.add(np.array(list(fresh), np.uint64), self._add(list(fresh.values())).astype(np.int32))
         out = []
-        for (raw, start), (end, code, miss, h) in zip(parts, seen, strict=True):
-            code[miss] = self.table.get(h)
-            size = end - start
+        for (raw, start), (code, h) in zip(parts, seen, strict=True):
+            code = code.astype(np.int64)
+            code[code < 0] = self.table.get(h)
+            size = np.diff(start, append=len(raw))
+            end = start + size
             wrong = np.flatnonzero(size != self.at[code + 1] - self.at[code])
             same = np.setdiff1d(np.arange(len(code)), wrong, assume_unique=True) if len(wrong) else slice(None)
             differ = raw[spread(start[same], size[same])] != self.data[spread(self.at[code[same]], size[same])]
