@@ -194,7 +194,8 @@ class Merged:
 
     def __init__(self, shards: list[np.ndarray], length: int = LENGTH):
         n = sum(map(len, shards))
-        sym, nxt = np.empty(n, np.int64), np.empty(n, np.int64)
+        kind = np.int32 if n < 2**31 - 1 else np.int64  # of rows; many arrays of them are alive at once
+        sym, nxt = np.empty(n, np.int16), np.empty(n, kind)
         at = 0
         self.base = []
         for b in shards:
@@ -206,15 +207,16 @@ class Merged:
             self.base.append(at)
             at += len(b)
         self.next = nxt
-        key, x = sym.copy(), nxt
+        key, x = sym.astype(np.int64), nxt
         for _ in range(6):
             key = (key << 9) | sym[x]
             x = nxt[x]
         jump = {7: x}
-        order = np.argsort(key, kind="stable")  # merges the shards' sorted runs
-        rank = _blocks(key[order])
-        by_row = np.empty(n, np.int64)
+        order = np.argsort(key, kind="stable").astype(kind)  # merges the shards' sorted runs
+        rank = _blocks(key[order]).astype(kind)
+        by_row = np.empty(n, kind)
         by_row[order] = rank
+        del sym, key
         h = 7
         while h < length:
             step = min(h, length - h)
@@ -224,7 +226,7 @@ class Merged:
             if not len(active):
                 break
             rows = order[active]
-            key = rank[active] * n + by_row[jump[step][rows]]
+            key = rank[active].astype(np.int64) * n + by_row[jump[step][rows]]
             turn = np.argsort(key, kind="stable")
             order[active] = rows = rows[turn]
             rank[active] = _refined(key[turn], rank[active], active)
@@ -234,7 +236,7 @@ class Merged:
         self.block = by_row  # equal: a common prefix of ``length`` symbols or up to an end
 
     def _jump(self, step: int, jump: dict[int, np.ndarray]) -> np.ndarray:
-        x = np.arange(len(self.next))
+        x = np.arange(len(self.next), dtype=self.next.dtype)
         for k in sorted((k for k in jump if k in (7, 14, 28, 56, 112)), reverse=True):
             while step >= k:
                 x, step = jump[k][x], step - k
@@ -256,12 +258,12 @@ def repeated_starts(texts: list[bytes], weights: np.ndarray, length: int = LENGT
             who.append((np.flatnonzero(b == 0), np.array(held)[ends]))
             held, size = [], 0
     merged = Merged(shards, length)
-    row = np.empty(len(texts), np.int64)
+    row = np.empty(len(texts), merged.next.dtype)
     for base, b, (zeros, ids), in zip(merged.base, shards, who, strict=True):
         row[ids] = zeros + base
     windows = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
     seen = np.zeros(len(merged.next), np.int64)
-    walk, live, x = [], np.flatnonzero(windows > 0), row[windows > 0]
+    walk, live, x = [], np.flatnonzero(windows > 0).astype(row.dtype), row[windows > 0]
     for t in range(int(windows.max(initial=0))):
         keep = windows[live] > t
         live, x = live[keep], x[keep]
