@@ -3,7 +3,10 @@
 A fingerprint's bit is set if it is set in more than half of the XXH64 values of the
 text's word shingles.  Every distinct fingerprint emits its variants within half the
 radius; two fingerprints that emit the same variant meet in a shuffle, and the pair is
-verified by counting its differing bits.  Variants travel in packed buckets.
+verified by counting its differing bits.  Variants travel in packed buckets, each as
+what it differs in (two bytes) from its fingerprint, which a bucket's record holds once
+for all its variants there: ten bytes for a variant at most, whatever the number of
+buckets.
 
 Half of radius three is one bit for one of a pair and two for the other.  Parity tells
 them apart: fingerprints three bits apart differ in the parity of their bits, so only
@@ -42,6 +45,8 @@ _MOST = 1 << 18
 _SLICE = 1 << 20
 #: Variants that meet in one place at a time.
 _BUCKET = 1 << 20
+#: Marks the first of a fingerprint's variants in a record.
+_NEW = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -85,13 +90,39 @@ def _flips(radius: int) -> tuple[np.ndarray, np.ndarray]:
     return few, np.concatenate((few, two, two << np.uint64(32)))
 
 
-def variants(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, variants): the variants at which pairs may meet, of all ``fp``."""
+def variants(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``fp``, place in the flips of odd parity, variant): the variants at which
+    pairs may meet, of all ``fp``."""
     odd = np.bitwise_count(fp) % 2 == 1
-    out = [(np.repeat(x, len(m)), (x[:, None] ^ m).ravel()) for x, m in zip((fp[~odd], fp[odd]), _flips(radius), strict=True)]
+    out = []
+    for at, m in zip((np.flatnonzero(~odd), np.flatnonzero(odd)), _flips(radius), strict=True):
+        out.append((np.repeat(at, len(m)), np.tile(np.arange(len(m), dtype=np.uint16), len(at)), (fp[at, None] ^ m).ravel()))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _packed(fp: np.ndarray, radius: int, buckets: int) -> pa.RecordBatch:
+    """(bucket, fps, flips): the variants of all ``fp``, a row for each bucket."""
+    at, flip, v = variants(fp, radius)
+    of = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
+    at, flip, of = at[order], flip[order], of[order]
+    names, first = np.unique(of, return_index=True)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+    runs = np.append(0, np.cumsum(new))
+    cols = []
+    for data, ends in ((fp[at[new]], runs[np.append(first, len(at))] * 8), (np.where(new, flip | np.uint16(_NEW), flip), np.append(first, len(at)) * 2)):
+        cols.append(pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *cols], ["bucket", "fps", "flips"])
+
+
+def _unpacked(fps: bytes, flips: bytes, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, variants) of a bucket's records, joined."""
+    flip = np.frombuffer(flips, np.uint16)
+    fp = np.frombuffer(fps, np.uint64)[np.cumsum(flip >= _NEW) - 1]
+    return fp, fp ^ _flips(radius)[1][flip & np.uint16(_NEW - 1)]
+
+
 def _lowest(x: np.ndarray) -> np.ndarray:
     return x & (~x + np.uint64(1))
 
@@ -140,34 +171,26 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     def emit(it):
         for b in it:
             for k in range(0, len(b), 1024):
-                fp, v = variants(b.column(0).to_numpy()[k : k + 1024].view(np.uint64), radius)
-                of = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
-                rows = np.stack((fp[order], v[order]), 1)
-                names, at = np.unique(of[order], return_index=True)
-                off = pa.array(np.append(at, len(rows)) * 16, pa.int32())
-                data = pa.Array.from_buffers(pa.binary(), len(names), [None, off.buffers()[1], pa.py_buffer(rows)])
-                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), data], ["bucket", "rows"])
+                yield _packed(b.column(0).to_numpy()[k : k + 1024].view(np.uint64), radius, buckets)
 
     def meet(it):
         held, at = [], None
 
         def pairs():
-            fp, v = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2).T
-            x, y = _meet(fp, v, radius)
+            x, y = _meet(*_unpacked(*(b"".join(c) for c in zip(*held, strict=True)), radius), radius)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["src", "dst"])
 
         for b in it:
-            for bucket, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for bucket, fps, flips in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if bucket != at and held:
                     yield pairs()
                     held = []
                 at = bucket
-                held.append(rows.as_py())
+                held.append((fps.as_py(), flips.as_py()))
         if held:
             yield pairs()
 
-    rows = own.mapInArrow(tidied(emit), "bucket long, rows binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    rows = own.mapInArrow(tidied(emit), "bucket long, fps binary, flips binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     return settle(rows.mapInArrow(tidied(meet), "src long, dst long"))
 
 

@@ -162,6 +162,19 @@ def test_ball_links_find_every_pair(spark):
         assert got == {frozenset((signed(a), signed(b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 3000])
+def test_packed_variants_are_short(buckets):
+    """Ten bytes for a variant at most, so the shuffle grows no faster than the input."""
+    r = random.Random(6)
+    fp = np.array([r.getrandbits(64) for _ in range(300)], np.uint64)
+    for radius in range(4):
+        packed = simhash._packed(fp, radius, buckets).to_pylist()
+        at, _, v = simhash.variants(fp, radius)
+        got = [zip(*(c.tolist() for c in simhash._unpacked(x["fps"], x["flips"], radius)), strict=True) for x in packed]
+        assert sorted(p for g in got for p in g) == sorted(zip(fp[at].tolist(), v.tolist(), strict=True))
+        assert sum(len(x["fps"]) + len(x["flips"]) for x in packed) <= 10 * len(v)
+
+
 def plain_repeats(rows, length):
     raw = {k: (t or "").encode() for k, t in rows}
     n = Counter(t[i : i + length] for t in raw.values() for i in range(len(t) - length + 1))
