@@ -46,8 +46,8 @@ from .common import chunks, identity, settle, tidied, utf8
 LENGTH = 200
 GRAM = 48
 MOST_CONTEXTS = 16_384
-#: Bytes of contexts merged at a time, and in one shard.
-MERGE_BYTES, SHARD_BYTES = 1_000_000, 250_000
+#: Bytes of contexts merged at a time, and in one shard: their arrays stay in a core's cache.
+MERGE_BYTES, SHARD_BYTES = 125_000, 31_250
 _SLICE = 1 << 20
 _ODD, _ODD_TOO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -141,10 +141,17 @@ def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     body[end] = False
     sym[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     last = np.repeat(end, size)
-    place = np.arange(n)
-    key = sym.copy()
-    for k in range(1, 7):
-        key = (key << 9) | sym[np.minimum(place + k, last)]
+    left = last - np.arange(n)
+
+    def ahead(x, k):  # what stands k places on in the same text, else ends
+        out = np.zeros(n, np.int64)
+        out[: n - k] = x[k:]
+        out[left < k] = 0
+        return out
+
+    key = (sym << 9) | ahead(sym, 1)
+    key = (key << 18) | ahead(key, 2)
+    key = (key << 27) | ahead(key >> 9, 4)
     order = np.argsort(key, kind="stable")
     rank = _blocks(key[order])
     by_place = np.empty(n, np.int64)
@@ -207,11 +214,14 @@ class Merged:
             self.base.append(at)
             at += len(b)
         self.next = nxt
-        key, x = sym.astype(np.int64), nxt
-        for _ in range(6):
-            key = (key << 9) | sym[x]
-            x = nxt[x]
-        jump = {7: x}
+        sym = sym.astype(np.int64)
+        two = nxt.take(nxt)
+        four = two.take(two)
+        key = (sym << 9) | sym.take(nxt)
+        key = (key << 18) | key.take(two)
+        key = (key << 27) | (key >> 9).take(four)
+        jump = {7: four.take(two.take(nxt))}
+        del two, four
         order = np.argsort(key, kind="stable").astype(kind)  # merges the shards' sorted runs
         rank = _blocks(key[order]).astype(kind)
         by_row = np.empty(n, kind)
@@ -220,28 +230,28 @@ class Merged:
         h = 7
         while h < length:
             step = min(h, length - h)
-            if step not in jump:
-                jump[step] = self._jump(step, jump)
+            if step == h and step not in jump:
+                half = jump[step // 2]
+                jump[step] = half.take(half)
             active = _shared(rank)
             if not len(active):
                 break
             rows = order[active]
-            key = rank[active].astype(np.int64) * n + by_row[jump[step][rows]]
+            key = rank[active].astype(np.int64) * n + by_row.take(self._reached(rows, step, jump))
             turn = np.argsort(key, kind="stable")
             order[active] = rows = rows[turn]
             rank[active] = _refined(key[turn], rank[active], active)
             by_row[rows] = rank[active]
             h += step
-            jump[h] = jump[step][jump[step]] if step == h // 2 and step * 2 == h else self.next
         self.block = by_row  # equal: a common prefix of ``length`` symbols or up to an end
 
-    def _jump(self, step: int, jump: dict[int, np.ndarray]) -> np.ndarray:
-        x = np.arange(len(self.next), dtype=self.next.dtype)
-        for k in sorted((k for k in jump if k in (7, 14, 28, 56, 112)), reverse=True):
+    def _reached(self, x: np.ndarray, step: int, jump: dict[int, np.ndarray]) -> np.ndarray:
+        """The rows ``step`` symbols on from some rows."""
+        for k in sorted(jump, reverse=True):
             while step >= k:
-                x, step = jump[k][x], step - k
+                x, step = jump[k].take(x), step - k
         for _ in range(step):
-            x = self.next[x]
+            x = self.next.take(x)
         return x
 
 

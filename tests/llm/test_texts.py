@@ -235,6 +235,17 @@ def test_merged_transforms(length):
         assert [x.tolist() for x in got] == [[i for i in range(len(t) - length + 1) if n[t[i : i + length]] > 1] for t in rows]
 
 
+def test_merge_walks_shared_rows_only(monkeypatch):
+    """A turn looks ahead from rows whose block has another row, not from all of them."""
+    r = random.Random(2)
+    texts = [bytes(r.choices(b"abcdefgh", k=300)) for _ in range(60)]
+    walked = []
+    reached = suffix_dedup.Merged._reached
+    monkeypatch.setattr(suffix_dedup.Merged, "_reached", lambda self, x, *a: walked.append((len(x), len(self.next))) or reached(self, x, *a))
+    assert not any(len(x) for x in suffix_dedup.repeated_starts(texts, np.ones(60, np.int64), 200, 4000))
+    assert walked and all(n < 0.1 * rows for n, rows in walked)
+
+
 def plain_contamination(docs, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     find = {}
