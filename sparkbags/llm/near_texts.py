@@ -2,10 +2,14 @@
 
 Each distinct set of five-word shingles (64-bit hashes) has a SimHash of 768 bits.
 Two sets at similarity 0.8 differ in a bit with probability acos(8/9) / pi = 0.15 at
-most, some 115 bits: far too many for balls of a few bits.  So the search samples bits:
-a table is a fixed choice of b bits, and sets that agree in them meet.  b grows with
-the logarithm of the number of sets, so chance meetings stay in proportion to it; the
-number of tables follows from b and the ``recall`` asked for at the threshold.  Sets of
+most, some 115 bits: far too many for balls in the whole fingerprint.  So the search is
+ball hashing in several tables, each with a fingerprint of b fixed bits of the 768: it
+emits every variant within half the radius of two, one bit, and two sets within two bits
+meet at a variant.  b grows with the logarithm of the number of sets, so chance meetings
+stay in proportion to it; the number of tables follows from b and the ``recall`` asked
+for at the threshold.  A table's fingerprints are dealt out by some of their bits: each
+goes to its own part, where its variants are made, and to the parts one bit away.  Of the
+two variants at which fingerprints meet one counts (``_useful``).  Sets of
 at most ``SHORT`` shingles, whose bits are coarse, also meet by prefix: two sets at the
 threshold share one of the smallest n - ceil(least n) + 1 hashes, without exception.
 
@@ -28,7 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, tidied, utf8
@@ -40,8 +44,16 @@ RECALL = 0.99
 SEED = 42
 WORDS = 12  # of 64 bits
 SHORT = 24
+#: Bits in which a table's fingerprints may differ; variants are within half of it.
+RADIUS = 2
 #: Tables whose meetings are compared before all others.
-FIRST = 8
+FIRST = 3
+#: Tables of which a pair is taken in the first where it meets.
+SEEN = 12
+#: Differing bits of a place's sets that are compared with two of it.
+_FEW = 10
+#: Of a place's number, the bits below the table's; variants of a part, on average at most.
+_PLACE, _PART = 40, 1 << 22
 _Q_SHORT = 0.2  # of differing bits, for short sets at the threshold
 _MOST = 1 << 14
 _ROW = "_near_row"
@@ -95,11 +107,13 @@ def radius(q: float, sigmas: float = 2.6) -> int:
 
 def tables(n: int, least: float = LEAST, recall: float = RECALL) -> np.ndarray:
     """A row of bit positions for each table, for ``n`` sets."""
-    b = min(32, max(12, math.ceil(math.log2(max(2, n))) + 5))  # a chance meeting for one set in 32 in a table
-    meet = (1 - apart(least)) ** b
+    b = min(_PLACE, max(16, math.ceil(math.log2(max(2, n))) + 13))  # a chance meeting for one set in 16 to 32 in a table
+    q = apart(least)
+    meet = sum(math.comb(b, k) * q**k * (1 - q) ** (b - k) for k in range(RADIUS + 1))
     most = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(64 * WORDS)[:b] for _ in range(most)])
+    apart_ = np.arange(64 * WORDS // b * b).reshape(-1, b)  # as many as there are without common bits
+    return np.stack([*apart_[:most], *(rng.permutation(64 * WORDS)[:b] for _ in range(most - len(apart_)))])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -128,50 +142,139 @@ def _sets(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(F.col(_ROW).alias("row"), F.col(text).alias("t")).mapInArrow(tidied(run), kind)
 
 
+def variants(x: np.ndarray, part: int, split: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``x``, differing bit or -1, variant): all variants within a bit of the
+    fingerprints ``x`` whose low ``split`` bits are ``part``."""
+    d = (x ^ part) & ((1 << split) - 1)
+    own, near = np.flatnonzero(d == 0), np.flatnonzero((d > 0) & (np.bitwise_count(d) == 1))
+    flip = np.concatenate(([-1], np.arange(split, bits))).astype(np.int64)
+    mask = np.concatenate(([0], np.int64(1) << np.arange(split, bits, dtype=np.int64))).astype(np.int64)
+    at = np.concatenate((np.repeat(own, len(flip)), near))
+    f = np.concatenate((np.tile(flip, len(own)), np.log2(d[near].astype(np.float64)).astype(np.int64)))
+    return at, f, np.concatenate(((x[own, None] ^ mask).ravel(), x[near] ^ d[near]))
+
+
+def _useful(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Places of the rows that have a pair to be taken at their variant.  Equal
+    fingerprints are taken where both are themselves.  Others meet at two variants, which
+    differ in both fingerprints' differing bits: taken is the one whose lower such bit is 0."""
+    order = np.argsort(v, kind="stable")
+    new = np.ones(len(v), bool)
+    new[1:] = v[order[1:]] != v[order[:-1]]
+    size = np.diff(np.append(np.flatnonzero(new), len(v)))
+    order = order[np.repeat(size > 1, size)]
+    if not len(order):
+        return order
+    size = size[size > 1]
+    v, f, first = v[order], f[order], np.cumsum(size) - size
+    zero = (f >= 0) & ((v >> np.maximum(f, 0)) & 1 == 0)
+    of = np.repeat(np.arange(len(size)), size)
+    least_zero = np.minimum.reduceat(np.where(zero, f, 64), first)[of]
+    least, most = np.minimum.reduceat(f, first)[of], np.maximum.reduceat(f, first)[of]
+    selves = np.add.reduceat((f < 0).astype(np.int64), first)[of]
+    taken = np.where(f < 0, (selves > 1) | (least_zero < 64), (zero & ((least < 0) | (most > f))) | (least_zero < f))
+    return order[taken]
+
+
 def _meetings(nodes: DataFrame, n: int) -> DataFrame:
-    """(v, s): the places where sets meet."""
+    """(v, s, f): the variants at which sets meet others, and the bit in which a set's
+    fingerprint differs from the variant, -1 for none."""
     where = tables(n)
     words = [f"w{i}" for i in range(WORDS)]
+    bits, parts = where.shape[1], int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * bits / _PART, 2 * parts / len(where))))))
 
-    def run(it):
+    def emit(it):
         for b in it:
             w = np.stack([np.asarray(b.column(1 + i)).view(np.uint64) for i in range(WORDS)], axis=1)
             s = np.asarray(b.column(0))
-            bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(len(b), -1), axis=1)
+            all_ = np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(len(b), -1), axis=1)
             for k, pos in enumerate(where):
-                v = bits[:, pos].astype(np.int64) @ (1 << np.arange(len(pos), dtype=np.int64)) + (k << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(s)], ["v", "s"])
-
-    by_bits = nodes.where("n > 0").select("s", *words).mapInArrow(tidied(run), "v long, s long")
-    return by_bits.unionByName(nodes.where(F.size("head") > 0).select(F.explode("head").alias("v"), "s"))
-
+                x = all_[:, pos].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+                low = x & ((1 << split) - 1)
+                to = np.concatenate([low, *(low ^ (1 << i) for i in range(split))])
+                order = np.argsort(to, kind="stable")
+                names, at = np.unique(to[order], return_index=True)
+                of = order % len(x)
+                ends = pa.py_buffer((np.append(at, len(of)) * 8).astype(np.int32))
+                cols = [pa.Array.from_buffers(pa.binary(), len(names), [None, ends, pa.py_buffer(c[of])]) for c in (x, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(names + (k << split)), *cols], ["part", "x", "s"])
+
+    def meet(it):
+        held, at = [], None
+
+        def met():
+            x, s = (np.frombuffer(b"".join(c), np.int64) for c in zip(*held, strict=True))
+            i, f, v = variants(x, at & ((1 << split) - 1), split, bits)
+            go = _useful(v, f)
+            for k in range(0, len(go), _MOST):
+                some = go[k : k + _MOST]
+                yield pa.RecordBatch.from_arrays([pa.array(v[some] + (at >> split << _PLACE)), pa.array(s[i[some]]), pa.array(f[some].astype(np.int32))], ["v", "s", "f"])
 
-def _met(nodes: DataFrame) -> DataFrame:
+        for b in it:
+            for part, x, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if part != at and held:
+                    yield from met()
+                    held = []
+                at = part
+                held.append((x.as_py(), s.as_py()))
+        if held:
+            yield from met()
+
+    packed = nodes.where("n > 0").select("s", *words).mapInArrow(tidied(emit), "part long, x binary, s binary")
+    by_bits = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidied(meet), "v long, s long, f int")
+    heads = nodes.where(F.size("head") > 0).select(F.explode("head").alias("v"), "s")
+    several = heads.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    return by_bits.unionByName(heads.join(several, "v").select("v", "s", F.lit(-1).alias("f")))
+
+
+def _met(nodes: DataFrame, n: int) -> DataFrame:
     """The sets, at each place where they meet another one."""
-    met = settle(_meetings(nodes, nodes.count()), rows=2000)
-    several = met.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    met = settle(_meetings(nodes, n), rows=2000)
     words = [f"w{i}" for i in range(WORDS)]
-    return settle(met.join(several, "v").join(nodes.select("s", "n", *words), "s").select("v", "s", "n", *words))
+    return settle(met.join(nodes.select("s", "n", *words), "s").select("v", "s", "f", "n", *words))
+
+
+def _once() -> Column:
+    """Whether a pair is taken at this place, of a table's two (see ``_useful``)."""
+    low = F.least("a_f", "b_f")
+    bit = F.expr("shiftright(a_v, case when least(a_f, b_f) < 0 then greatest(a_f, b_f) else least(a_f, b_f) end)").bitwiseAND(F.lit(1))
+    return F.when(F.col("a_f") == F.col("b_f"), low < 0).otherwise(bit == 0)
+
+
+def _first(n: int) -> Column:
+    """Whether a pair does not meet in an earlier one of the first ``SEEN`` tables, where it
+    is taken."""
+    out = F.lit(True)
+    for k, pos in enumerate(tables(n)[:SEEN]):
+        mask = np.zeros(64 * WORDS, np.uint8)
+        mask[pos] = 1
+        differ = [F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}")).bitwiseAND(F.lit(int(m)))) for i, m in enumerate(np.packbits(mask).view(np.int64)) if m]
+        out = out & ~((F.shiftright("a_v", _PLACE) > k) & (sum(differ[1:], differ[0]) <= RADIUS))
+    return out
 
 
-def _pairs(met: DataFrame, others: DataFrame, more) -> DataFrame:
-    """(x, y): sets that meet, may be at the threshold and satisfy ``more``."""
+def _pairs(met: DataFrame, others: DataFrame, more, last=None) -> DataFrame:
+    """(x, y): sets that meet, may be at the threshold and satisfy ``more`` and, asked
+    of these only, ``last``."""
     words = [f"w{i}" for i in range(WORDS)]
     a, b = (side.select(*(F.col(c).alias(f"{name}_{c}") for c in side.columns)) for side, name in ((met, "a"), (others, "b")))
     differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     near = (small >= large * F.lit(LEAST) - 1e-6) & (differ <= F.when(small <= SHORT, radius(_Q_SHORT, 4.0)).otherwise(radius(apart())))
-    pairs = a.join(b, (a.a_v == b.b_v) & near & more)
+    pairs = a.join(b, (a.a_v == b.b_v) & more & (near if last is None else near & last))
     return pairs.select(F.least("a_s", "b_s").alias("x"), F.greatest("a_s", "b_s").alias("y")).distinct()
 
 
 def _some(met: DataFrame, other) -> DataFrame:
-    """Pairs of each set with two sets of each place, the first and last by a hash of the
-    set alone: a large group meets the same few sets at most of its places, so pairs are
-    in proportion to the sets, and join most of the group."""
-    one = F.struct(F.xxhash64("s").alias("h"), *(c for c in met.columns if c != "v"))
+    """Pairs of sets with two sets of each place, the first and last by component, if
+    known, and by a hash of the set alone: a large group meets the same few sets at most of
+    its places, so pairs are in proportion to the sets, and join most of the group.  Of a
+    table's places those of a set itself and of a few differing bits are used."""
+    by = [c for c in ("c",) if c in met.columns]
+    one = F.struct(*by, F.xxhash64("s").alias("h"), *(c for c in met.columns if c not in ("v", *by)))
     ends = met.groupBy("v").agg(F.array(F.min(one), F.max(one)).alias("e")).select("v", F.explode("e").alias("e")).select("v", *(f"e.{c}" for c in met.columns if c != "v"))
-    return _pairs(met, ends, other)
+    return _pairs(met.where(F.col("f") < _FEW), ends, other)
 
 
 def _mixed(met: DataFrame, of: DataFrame) -> DataFrame:
@@ -202,8 +305,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) ->
 
 def _links(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """(src, dst): links that connect all that the verified pairs connect."""
-    met = _met(nodes)
-    high = F.shiftright("v", 32)  # the table; prefixes have any number there
+    n = nodes.count()
+    met = _met(nodes, n)
+    high = F.shiftright("v", _PLACE)  # the table; prefixes have any number there
     first = settle(_some(met.where((high < FIRST) | (high >= 1 << 20)), F.col("a_s") != F.col("b_s")))
     done = settle(_verified(first, nodes, rows, text), rows=200)
     of = settle(components(done))
@@ -213,7 +317,7 @@ def _links(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     done = settle(stars.unionByName(_verified(more, nodes, rows, text)), rows=200)
     of = settle(components(done))
     at = _mixed(met, of)
-    rest = _pairs(at, at, (F.col("a_s") < F.col("b_s")) & apart_)
+    rest = _pairs(at, at, (F.col("a_s") < F.col("b_s")) & apart_ & _once(), _first(n))
     rest = settle(rest.join(first, ["x", "y"], "left_anti").join(more, ["x", "y"], "left_anti"))
     stars = of.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     return settle(stars.unionByName(_verified(rest, nodes, rows, text)), rows=200)

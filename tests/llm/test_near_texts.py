@@ -1,5 +1,9 @@
 import random
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline
@@ -70,3 +74,24 @@ def test_null_and_repeated_ids(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_texts.without_copies(docs).count() == 0
+
+
+@pytest.mark.parametrize("split", [0, 1, 4])
+def test_balls_of_a_table_meet_once(split):
+    """Fingerprints within two bits meet at a variant of both, and each pair counts once."""
+    r = random.Random(8)
+    base = [r.getrandbits(16) for _ in range(25)]
+    x = np.array([b ^ sum(1 << i for i in r.sample(range(16), r.randint(0, 3))) for b in base for _ in range(8)], np.int64)
+    met = Counter()
+    for part in range(1 << split):
+        at, f, v = near_texts.variants(x, part, split, 16)
+        assert all(x[i] ^ (1 << b if b >= 0 else 0) == y and y & ((1 << split) - 1) == part for i, b, y in zip(at.tolist(), f.tolist(), v.tolist(), strict=True))
+        places = {}
+        for k in near_texts._useful(v, f).tolist():
+            places.setdefault(int(v[k]), []).append((int(at[k]), int(f[k])))
+        for y, rows in places.items():
+            for (i, a), (j, b) in combinations(rows, 2):
+                low = min(a, b) if min(a, b) >= 0 else max(a, b)
+                if a < 0 if a == b else not y >> low & 1:
+                    met[min(i, j), max(i, j)] += 1
+    assert met == {(i, j): 1 for i, j in combinations(range(len(x)), 2) if int(x[i] ^ x[j]).bit_count() <= 2}
