@@ -9,7 +9,9 @@ meet at a variant.  b grows with the logarithm of the number of sets, so chance
 stay in proportion to it; the number of tables follows from b and the ``recall`` asked
 for at the threshold.  A table's fingerprints are dealt out by some of their bits: each
 goes to its own part, where its variants are made, and to the parts one bit away.  Of the
-two variants at which fingerprints meet one counts (``_useful``).  Sets of
+two variants at which fingerprints meet one counts (``_useful``).  What is written of a
+part is each set once that meets another there, so the rows are in proportion to the sets
+and not to their meetings; pairs are made and compared where a part is read.  Sets of
 at most ``SHORT`` shingles, whose bits are coarse, also meet by prefix: two sets at the
 threshold share one of the smallest n - ceil(least n) + 1 hashes, without exception.
 
@@ -32,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, tidied, utf8
@@ -48,12 +50,10 @@ SHORT = 24
 RADIUS = 2
 #: Tables whose meetings are compared before all others.
 FIRST = 3
-#: Tables of which a pair is taken in the first where it meets.
-SEEN = 12
 #: Differing bits of a place's sets that are compared with two of it.
 _FEW = 10
-#: Of a place's number, the bits below the table's; variants of a part, on average at most.
-_PLACE, _PART = 40, 1 << 22
+#: Bits of a table at most; variants of a part, on average at most; pairs compared at a time.
+_BITS, _PART, _BLOCK = 40, 1 << 22, 1 << 17
 _Q_SHORT = 0.2  # of differing bits, for short sets at the threshold
 _MOST = 1 << 14
 _ROW = "_near_row"
@@ -107,7 +107,7 @@ def radius(q: float, sigmas: float = 2.6) -> int:
 
 def tables(n: int, least: float = LEAST, recall: float = RECALL) -> np.ndarray:
     """A row of bit positions for each table, for ``n`` sets."""
-    b = min(_PLACE, max(16, math.ceil(math.log2(max(2, n))) + 13))  # a chance meeting for one set in 16 to 32 in a table
+    b = min(_BITS, max(16, math.ceil(math.log2(max(2, n))) + 13))  # a chance meeting for one set in 16 to 32 in a table
     q = apart(least)
     meet = sum(math.comb(b, k) * q**k * (1 - q) ** (b - k) for k in range(RADIUS + 1))
     most = math.ceil(math.log(1 - recall) / math.log(1 - meet))
@@ -176,13 +176,45 @@ def _useful(v: np.ndarray, f: np.ndarray) -> np.ndarray:
     return order[taken]
 
 
-def _meetings(nodes: DataFrame, n: int) -> DataFrame:
-    """(v, s, f): the variants at which sets meet others, and the bit in which a set's
-    fingerprint differs from the variant, -1 for none."""
-    where = tables(n)
+def _places(x: np.ndarray, part: int, split: int, bits: int):
+    """The ``_useful`` rows of a part's ``variants``; those of a large group in turns, by
+    further bits."""
+    more = min(bits - split, max(0, math.ceil(math.log2(max(1, len(x) * bits / (2 * _PART))))))
+    for k in range(1 << more):
+        i, f, v = variants(x, part | k << split, split + more, bits)
+        go = _useful(v, f)
+        yield i[go], f[go], v[go]
+
+
+def _split(spark: SparkSession, n: int, where: np.ndarray) -> int:
+    """The low bits of a table's fingerprints by which ``n`` of them are dealt out."""
+    bits, parts = where.shape[1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(bits - 1, max(0, math.ceil(math.log2(max(1, n * bits / _PART, 2 * parts / len(where))))))
+
+
+def _by_part(it):
+    """((table, part), columns) of rows sorted by these two.  Places of prefixes are small,
+    so several of them come at once."""
+    held, at, n = [], None, 0
+    for b in it:
+        cols = [np.asarray(c) for c in b.columns]
+        new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(b)], strict=True):
+            to = cols[0][i], cols[1][i]
+            if held and to != at and (at[0] >= 0 or to[0] >= 0 or n >= _MOST):
+                yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, n = [], 0
+            at, n = to, n + j - i
+            held.append([c[i:j] for c in cols])
+    if held:
+        yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _meetings(nodes: DataFrame, where: np.ndarray, split: int) -> DataFrame:
+    """(t, part, x, s): the sets that meet others in a part of a table, each once there,
+    and their fingerprints in the table.  Table -1 has the hashes that prefixes share."""
     words = [f"w{i}" for i in range(WORDS)]
     bits, parts = where.shape[1], int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = min(bits - 1, max(0, math.ceil(math.log2(max(1, n * bits / _PART, 2 * parts / len(where))))))
 
     def emit(it):
         for b in it:
@@ -205,11 +237,11 @@ def _meetings(nodes: DataFrame, n: int) -> DataFrame:
 
         def met():
             x, s = (np.frombuffer(b"".join(c), np.int64) for c in zip(*held, strict=True))
-            i, f, v = variants(x, at & ((1 << split) - 1), split, bits)
-            go = _useful(v, f)
-            for k in range(0, len(go), _MOST):
-                some = go[k : k + _MOST]
-                yield pa.RecordBatch.from_arrays([pa.array(v[some] + (at >> split << _PLACE)), pa.array(s[i[some]]), pa.array(f[some].astype(np.int32))], ["v", "s", "f"])
+            t, part = at >> split, at & ((1 << split) - 1)
+            i = np.unique(np.concatenate([i for i, _, _ in _places(x, part, split, bits)]))
+            for k in range(0, len(i), _MOST):
+                some = i[k : k + _MOST]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), y)) for y in (t, part)] + [pa.array(x[some]), pa.array(s[some])], ["t", "part", "x", "s"])
 
         for b in it:
             for part, x, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
@@ -222,66 +254,90 @@ def _meetings(nodes: DataFrame, n: int) -> DataFrame:
             yield from met()
 
     packed = nodes.where("n > 0").select("s", *words).mapInArrow(tidied(emit), "part long, x binary, s binary")
-    by_bits = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidied(meet), "v long, s long, f int")
-    heads = nodes.where(F.size("head") > 0).select(F.explode("head").alias("v"), "s")
-    several = heads.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    return by_bits.unionByName(heads.join(several, "v").select("v", "s", F.lit(-1).alias("f")))
-
-
-def _met(nodes: DataFrame, n: int) -> DataFrame:
-    """The sets, at each place where they meet another one."""
-    met = settle(_meetings(nodes, n), rows=2000)
-    words = [f"w{i}" for i in range(WORDS)]
-    return settle(met.join(nodes.select("s", "n", *words), "s").select("v", "s", "f", "n", *words))
-
-
-def _once() -> Column:
-    """Whether a pair is taken at this place, of a table's two (see ``_useful``)."""
-    low = F.least("a_f", "b_f")
-    bit = F.expr("shiftright(a_v, case when least(a_f, b_f) < 0 then greatest(a_f, b_f) else least(a_f, b_f) end)").bitwiseAND(F.lit(1))
-    return F.when(F.col("a_f") == F.col("b_f"), low < 0).otherwise(bit == 0)
-
+    by_bits = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidied(meet), "t long, part long, x long, s long")
+    heads = nodes.where(F.size("head") > 0).select(F.explode("head").alias("x"), "s")
+    several = heads.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x")
+    return by_bits.unionByName(heads.join(several, "x").select(F.lit(-1).cast("long").alias("t"), F.col("x").alias("part"), "x", "s"))
 
-def _first(n: int) -> Column:
-    """Whether a pair does not meet in an earlier one of the first ``SEEN`` tables, where it
-    is taken."""
-    out = F.lit(True)
-    for k, pos in enumerate(tables(n)[:SEEN]):
-        mask = np.zeros(64 * WORDS, np.uint8)
-        mask[pos] = 1
-        differ = [F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}")).bitwiseAND(F.lit(int(m)))) for i, m in enumerate(np.packbits(mask).view(np.int64)) if m]
-        out = out & ~((F.shiftright("a_v", _PLACE) > k) & (sum(differ[1:], differ[0]) <= RADIUS))
-    return out
 
-
-def _pairs(met: DataFrame, others: DataFrame, more, last=None) -> DataFrame:
-    """(x, y): sets that meet, may be at the threshold and satisfy ``more`` and, asked
-    of these only, ``last``."""
-    words = [f"w{i}" for i in range(WORDS)]
-    a, b = (side.select(*(F.col(c).alias(f"{name}_{c}") for c in side.columns)) for side, name in ((met, "a"), (others, "b")))
-    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    near = (small >= large * F.lit(LEAST) - 1e-6) & (differ <= F.when(small <= SHORT, radius(_Q_SHORT, 4.0)).otherwise(radius(apart())))
-    pairs = a.join(b, (a.a_v == b.b_v) & more & (near if last is None else near & last))
-    return pairs.select(F.least("a_s", "b_s").alias("x"), F.greatest("a_s", "b_s").alias("y")).distinct()
+def _once(v: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs of rows are taken at this place, of a table's two (see ``_useful``)."""
+    low, high = np.minimum(f[a], f[b]), np.maximum(f[a], f[b])
+    bit = np.maximum(np.where(low < 0, high, low), 0)
+    return np.where(low == high, low < 0, (v[a] >> bit) & 1 == 0)
 
 
-def _some(met: DataFrame, other) -> DataFrame:
-    """Pairs of sets with two sets of each place, the first and last by component, if
-    known, and by a hash of the set alone: a large group meets the same few sets at most of
-    its places, so pairs are in proportion to the sets, and join most of the group.  Of a
-    table's places those of a set itself and of a few differing bits are used."""
-    by = [c for c in ("c",) if c in met.columns]
-    one = F.struct(*by, F.xxhash64("s").alias("h"), *(c for c in met.columns if c not in ("v", *by)))
-    ends = met.groupBy("v").agg(F.array(F.min(one), F.max(one)).alias("e")).select("v", F.explode("e").alias("e")).select("v", *(f"e.{c}" for c in met.columns if c != "v"))
-    return _pairs(met.where(F.col("f") < _FEW), ends, other)
-
+def _with_ends(v: np.ndarray, f: np.ndarray, c: np.ndarray, s: np.ndarray, i: np.ndarray):
+    """Rows with two of each place, the first and last by component and then by the set
+    alone: a large group meets the same few sets at most of its places, so pairs are in
+    proportion to the sets, and join most of the group.  Of a part's places those of a set
+    itself and of a few differing bits are used."""
+    order = np.lexsort((s[i], c[i], v))
+    new = np.ones(len(v), bool)
+    new[1:] = v[order[1:]] != v[order[:-1]]
+    first = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    few = f[order] < _FEW
+    ends = np.concatenate((order[first[of]][few], order[np.append(first[1:], len(v))[of] - 1][few]))
+    a, b = i[np.tile(order[few], 2)], i[ends]
+    go = c[a] != c[b]
+    pair = np.unique(np.minimum(a, b)[go] * len(s) + np.maximum(a, b)[go])
+    for k in range(0, len(pair), _BLOCK):
+        yield np.divmod(pair[k : k + _BLOCK], len(s))
+
+
+def _across(v: np.ndarray, f: np.ndarray, c: np.ndarray, s: np.ndarray, i: np.ndarray):
+    """All pairs of different components, where they are taken."""
+    order = np.lexsort((c[i], v))
+    v, f, i = v[order], f[order], i[order]
+    last = np.ones(len(v), bool)
+    last[:-1] = (v[1:] != v[:-1]) | (c[i[1:]] != c[i[:-1]])
+    runs = np.flatnonzero(last) + 1
+    after = runs[np.cumsum(last) - last]  # the next row that isn't of the same place and component
+    count = np.searchsorted(v, v, "right") - after
+    total = np.append(0, np.cumsum(count))
+    k = 0
+    while k < len(v):
+        to = max(k + 1, int(np.searchsorted(total, total[k] + _BLOCK, "right")) - 1)
+        m = count[k:to]
+        a = np.repeat(np.arange(k, to), m)
+        b = np.arange(len(a)) + np.repeat(after[k:to] - (total[k:to] - total[k]), m)
+        go = _once(v, f, a, b)
+        yield i[a[go]], i[b[go]]
+        k = to
+
+
+def _pairs(met: DataFrame, of: DataFrame | None, where: np.ndarray, split: int, some: bool) -> DataFrame:
+    """(x, y): sets of different components ``of`` (none: each its own) that meet and may
+    be at the threshold; all of them or, with ``some``, those with two of each place."""
+    words, bits = [f"w{i}" for i in range(WORDS)], where.shape[1]
+    masks = np.zeros((len(where), 64 * WORDS), np.uint8)
+    masks[np.arange(len(where))[:, None], where] = 1
+    masks = np.packbits(masks, axis=1).view(np.uint64)
+    most = radius(_Q_SHORT, 4.0), radius(apart())
 
-def _mixed(met: DataFrame, of: DataFrame) -> DataFrame:
-    """The sets and their components ``c`` so far, at places with more than one."""
-    at = met.join(of.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
-    mixed = at.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-    return settle(at.join(mixed, "v", "left_semi"))
+    def run(it):
+        for (t, part), (_, _, x, s, c, n, *w) in _by_part(it):
+            w = np.stack(w, axis=1).view(np.uint64)
+            places = [(np.arange(len(x)), np.full(len(x), -1), x)] if t < 0 else _places(x, part, split, bits)
+            for a, b in (pair for i, f, v in places for pair in (_with_ends if some else _across)(v, f, c, s, i)):
+                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                go = small >= large * LEAST - 1e-6
+                a, b, small = a[go], b[go], small[go]
+                d = w[a] ^ w[b]
+                go = np.bitwise_count(d).sum(1) <= np.where(small <= SHORT, *most)
+                a, b, d = a[go], b[go], d[go]
+                for mask in masks[: 0 if some else max(0, t)]:  # a pair is taken in the first table where it meets
+                    go = np.bitwise_count(d & mask).sum(1) > RADIUS
+                    a, b, d = a[go], b[go], d[go]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[a], s[b])), pa.array(np.maximum(s[a], s[b]))], ["x", "y"])
+
+    if of is None:
+        rows = met.withColumn("c", F.col("s"))
+    else:
+        rows = met.join(of.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    dealt = rows.select("t", "part", "x", "s", "c", "n", *words).repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "part")
+    return dealt.sortWithinPartitions("t", "part").mapInArrow(tidied(run), "x long, y long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -305,20 +361,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) ->
 
 def _links(nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """(src, dst): links that connect all that the verified pairs connect."""
-    n = nodes.count()
-    met = _met(nodes, n)
-    high = F.shiftright("v", _PLACE)  # the table; prefixes have any number there
-    first = settle(_some(met.where((high < FIRST) | (high >= 1 << 20)), F.col("a_s") != F.col("b_s")))
+    n, words = nodes.count(), [f"w{i}" for i in range(WORDS)]
+    where = tables(n)
+    split = _split(nodes.sparkSession, n, where)
+    met = settle(_meetings(nodes, where, split), rows=2000)
+    met = settle(met.join(nodes.select("s", "n", *words), "s"))
+    first = settle(_pairs(met.where(F.col("t") < FIRST), None, where, split, some=True))
     done = settle(_verified(first, nodes, rows, text), rows=200)
     of = settle(components(done))
-    apart_ = F.col("a_c") != F.col("b_c")
-    more = settle(_some(_mixed(met, of), apart_).join(first, ["x", "y"], "left_anti"))
+    more = settle(_pairs(met, of, where, split, some=True).join(first, ["x", "y"], "left_anti"))
     stars = of.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     done = settle(stars.unionByName(_verified(more, nodes, rows, text)), rows=200)
     of = settle(components(done))
-    at = _mixed(met, of)
-    rest = _pairs(at, at, (F.col("a_s") < F.col("b_s")) & apart_ & _once(), _first(n))
-    rest = settle(rest.join(first, ["x", "y"], "left_anti").join(more, ["x", "y"], "left_anti"))
+    rest = settle(_pairs(met, of, where, split, some=False).join(first.unionByName(more), ["x", "y"], "left_anti"))
     stars = of.select(F.col("node").alias("src"), F.col("component").alias("dst"))
     return settle(stars.unionByName(_verified(rest, nodes, rows, text)), rows=200)
 
